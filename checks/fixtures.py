@@ -9,6 +9,7 @@ from newscorpus import values
 from newscorpus.functions import keys
 from newscorpus.operators import cleaning, compilation, discovery
 from newscorpus.operators.ordering import with_positions
+from newscorpus.session import shared_dir
 from newscorpus.sources.tables import read_pages, read_sections
 
 RUN_TS = "2026-06-19 08:30:00"
@@ -86,10 +87,12 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article rows without bodies, dated after cleaning so that no HTML is shuffled."""
+    shared_dir(spark)
     narrow = cleaned(spark, sf_dir).select(
         "page_id", "section_key", "article_key", "n_blocks", "n_bytes"
     )
-    return narrow.join(dates(spark, sf_dir), "page_id")
+    # Kept, since sorting reads its input twice and cleaning should run once.
+    return narrow.checkpoint().join(dates(spark, sf_dir), "page_id")
 
 
 def compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,8 +151,9 @@ def bylined(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</span>"),
     )
     timed = F.concat(F.lit("<time>"), "day", F.lit("</time>"))
+    spelled = F.date_format(F.to_date("day"), "MMMM d, yyyy")
     classed = F.concat(
-        F.lit('<div class="meta entry-date"><div>'), "day", F.lit("</div> UTC</div>")
+        F.lit('<div class="meta entry-date"><div></div><b> '), spelled, F.lit(" </b></div>")
     )
     extra = (
         F.when(kind == 0, F.lit(""))

@@ -407,13 +407,15 @@ SELECT page_id, body, n_blocks, CAST(strlen(body) AS BIGINT) AS n_bytes FROM a""
 oracle(
     "cleaning_rejects",
     f"""WITH {P}, short AS (
-  SELECT page_id, CASE WHEN page_id % 3 = 0 THEN {readable("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}
-    WHEN page_id % 11 = 0 THEN '' END AS only_text FROM p),
-lost AS (SELECT * FROM short WHERE only_text = '' OR {listed("only_text", ["###", "e"])})
-SELECT page_id, CASE WHEN only_text = '' THEN 0 ELSE 1 END AS n_raw,
-       CASE WHEN only_text = '' THEN 0 ELSE 1 END AS n_unwanted,
-       CASE WHEN only_text = '' THEN 'no text' ELSE 'only unwanted blocks' END AS reason
-FROM lost""",
+  SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_extract(html, '(?s)<h1>.*?</h1>')
+    WHEN page_id % 11 = 0 THEN '<article> </article>' ELSE html END AS html FROM p),
+{blocks("short", "page_id", main("html"), values.CLEAN_TAGS)},
+counts AS (
+  SELECT page_id, count(text) AS n_raw, count(text) FILTER (NOT {listed("text", ["###", "e"])}) AS kept
+  FROM short LEFT JOIN n USING (page_id) GROUP BY page_id)
+SELECT page_id, n_raw, n_raw AS n_unwanted,
+       CASE WHEN n_raw = 0 THEN 'no text' ELSE 'only unwanted blocks' END AS reason
+FROM counts WHERE kept = 0""",
 )
 oracle("clean_corpus", f"WITH {CLEANED} SELECT * FROM c")
 oracle(
@@ -424,7 +426,8 @@ oracle(
 AUTHOR = """CASE WHEN kind IN (1, 2) AND length(section_key) + page_id % 60 + CASE WHEN page_id % 60 > 0 THEN 1 ELSE 0 END < 50
   THEN trim(section_key || ' ' || repeat('x', CAST(page_id % 60 AS INTEGER))) ELSE 'staff' END"""
 oracle("article_author", f"WITH {P}, {BYLINED} SELECT page_id, {AUTHOR} AS author FROM bylined")
-DATE_TEXT = f"""CASE kind WHEN 0 THEN '{values.DEFAULT_DATE}' WHEN 2 THEN day || ' UTC' ELSE day END"""
+DATE_TEXT = f"""CASE kind WHEN 0 THEN '{values.DEFAULT_DATE}'
+  WHEN 2 THEN strftime({DAY}, '%B %-d, %Y') ELSE day END"""
 oracle(
     "article_date",
     f"""WITH {P}, {BYLINED} SELECT page_id, {DATE_TEXT} AS date_text,

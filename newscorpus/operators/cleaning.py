@@ -69,8 +69,22 @@ def split_blocks(
 
 
 def explode_blocks(df: DataFrame, *keep: str) -> DataFrame:
-    """One row per block."""
-    return df.select(*keep, F.inline(BLOCKS))
+    """One row per block.
+
+    The outer form, since for the other one the optimizer adds a filter on the array's size and
+    pushes it to the scan: everything that makes the array would be computed twice.
+    """
+    return df.select(*keep, F.inline_outer(BLOCKS)).where(F.col("pos").isNotNull())
+
+
+def computed_once(df: DataFrame, *columns: str) -> DataFrame:
+    """Keep later filters on these columns from being pushed into what computes them.
+
+    Filters pass through projections with the column's whole expression in tow, which would
+    then run twice. They do not pass a generator, so the columns go through one.
+    """
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others, F.inline_outer(F.array(F.struct(*columns))))
 
 
 def drop_empty_blocks(df: DataFrame) -> DataFrame:
@@ -191,8 +205,8 @@ def clean_blocks(
     df = drop_empty_blocks(df)
     df = _count(df, "n_raw")
     df = _count(drop_blocklisted(df, words, mode), "n_listed_out")
-    df = dedup_blocks(df)
-    return tag_blocks(df)
+    df = tag_blocks(dedup_blocks(df))
+    return computed_once(df, BLOCKS, "n_raw", "n_listed_out")
 
 
 def clean_corpus(

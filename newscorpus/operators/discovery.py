@@ -61,7 +61,8 @@ def extract_links(df: DataFrame, html: str = "html", outer: str = "h3") -> DataF
     anchor = rf"(?is)<a(\s[^>]*)?>(.*?)(?:</a|\z)"
     inner = F.regexp_extract("_piece", rf"(?is)^[^>]*>(.*?)(?:</{outer}|\z)", 1)
     links = (
-        df.select("section_key", "page_no", F.posexplode(pieces).alias("pos", "_piece"))
+        df.select("section_key", "page_no", F.posexplode_outer(pieces).alias("pos", "_piece"))
+        .where(F.col("pos").isNotNull())
         .withColumn("_inner", inner)
         .select(
             "section_key",

@@ -10,7 +10,7 @@ from newscorpus.functions import keys
 from newscorpus.operators import cleaning, compilation, discovery
 from newscorpus.operators.ordering import with_positions
 from newscorpus.session import shared_dir
-from newscorpus.sources.tables import read_pages, read_sections
+from newscorpus.sources.tables import read_pages, read_sections, spread_small
 
 RUN_TS = "2026-06-19 08:30:00"
 # Spanish pages stay without an entry, so the fallback for unknown sections is used.
@@ -28,6 +28,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_keys(df)
 
 
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages for queries that work through their HTML."""
+    return with_keys(spread_small(read_pages(spark, f"{sf_dir}/pages.parquet")))
+
+
 def with_keys(df: DataFrame) -> DataFrame:
     return df.withColumn(
         "section_key", F.regexp_extract("url", "^[^/]+//[^/]+/([^/?#]+)", 1)
@@ -39,7 +44,7 @@ def sections(spark: SparkSession) -> DataFrame:
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).withColumnRenamed("page_id", "page_no")
+    return corpus(spark, sf_dir).withColumnRenamed("page_id", "page_no")
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +87,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.clean_corpus(pages(spark, sf_dir), words=WORDS)
+    return cleaning.clean_corpus(corpus(spark, sf_dir), words=WORDS)
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +166,7 @@ def bylined(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 2, F.concat(classed, author))
         .otherwise(F.concat(classed, timed))
     )
-    return page_day(pages(spark, sf_dir)).withColumn(
+    return page_day(corpus(spark, sf_dir)).withColumn(
         "html", F.replace(F.col("html"), F.lit("</h1>"), F.concat(F.lit("</h1>"), extra))
     )
 
@@ -175,7 +180,7 @@ def footered(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("section_key"),
         F.col("day"),
     )
-    return page_day(pages(spark, sf_dir)).withColumn(
+    return page_day(corpus(spark, sf_dir)).withColumn(
         "html",
         F.when(F.col("page_id") % 5 != 0, F.concat("html", footer)).otherwise(F.col("html")),
     )
@@ -186,6 +191,6 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "</p><p>")):
         text = F.replace(text, F.lit(char), F.lit(entity))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    return spread_small(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", "lang", F.concat(F.lit("<p>"), text, F.lit("</p>")).alias("html")
     )

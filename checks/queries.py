@@ -161,13 +161,13 @@ def key_collisions_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def strip_chrome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fx.pages(spark, sf_dir).select("page_id", "html")
+    df = fx.corpus(spark, sf_dir).select("page_id", "html")
     return discovery.strip_chrome(df, classes=["ad"])
 
 
 @query
 def scope_container(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fx.pages(spark, sf_dir).select("page_id", "html")
+    df = fx.corpus(spark, sf_dir).select("page_id", "html")
     return discovery.scope_container(df, classes=["ad"])
 
 
@@ -259,7 +259,7 @@ def unchanged_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def needs_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every other page stands for one that has been cleaned before."""
-    df = cleaning.main_content(fx.pages(spark, sf_dir)).select(
+    df = cleaning.main_content(fx.corpus(spark, sf_dir)).select(
         "page_id",
         F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.col("content")).alias("html"),
     )
@@ -268,17 +268,17 @@ def needs_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.main_content(fx.pages(spark, sf_dir)).select("page_id", "content")
+    return cleaning.main_content(fx.corpus(spark, sf_dir)).select("page_id", "content")
 
 
 @query
 def decode_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fx.pages(spark, sf_dir).select("page_id", "html")
+    df = fx.corpus(spark, sf_dir).select("page_id", "html")
     return cleaning.decode_entities(df, "html")
 
 
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.split_blocks(cleaning.main_content(fx.pages(spark, sf_dir)))
+    return cleaning.split_blocks(cleaning.main_content(fx.corpus(spark, sf_dir)))
 
 
 @query
@@ -325,7 +325,7 @@ def assemble_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cleaning_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages reduced to their heading are rejected when the word list takes it."""
-    df = fx.pages(spark, sf_dir).withColumn(
+    df = fx.corpus(spark, sf_dir).withColumn(
         "html",
         F.when(F.col("page_id") % 3 == 0, F.regexp_extract("html", "(?s)<h1>.*?</h1>", 0))
         .when(F.col("page_id") % 11 == 0, F.lit("<article> </article>"))
@@ -337,7 +337,7 @@ def cleaning_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def article_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fx.pages(spark, sf_dir).select(
+    df = fx.corpus(spark, sf_dir).select(
         "page_id",
         F.when(F.col("page_id") % 5 == 0, F.replace("html", F.lit("h1>"), F.lit("h2>")))
         .otherwise(F.col("html"))
@@ -446,7 +446,7 @@ def run_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = archive.run_archive(
         spark,
         fx.listings(spark, sf_dir),
-        fx.pages(spark, sf_dir),
+        fx.corpus(spark, sf_dir),
         fx.fetches(spark, sf_dir),
         fx.sections(spark),
         work_path(spark, "archive"),
@@ -527,7 +527,7 @@ def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def script_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = tables.spread_small(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return quality.script_share(docs, "text", "Latin").drop("text")
 
 
@@ -538,7 +538,7 @@ def repeat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def residual_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = cleaning.clean_corpus(fx.pages(spark, sf_dir))
+    df = cleaning.clean_corpus(fx.corpus(spark, sf_dir))
     df = df.withColumn("text", markup.body_text(F.col("body")))
     return quality.residual_markup(df, "text", fx.WORDS).select("page_id", "n_tags", "has_listed")
 

@@ -20,6 +20,16 @@ def read_if_exists(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def spread_small(scan: DataFrame) -> DataFrame:
+    """Use all cores on a table that comes in fewer splits than there are cores.
+
+    Text work is bound by CPU, and a small file is one split. A table with splits enough, as any
+    large one has, is left alone: its pages are not shuffled. Takes a plain scan.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Page corpus: a parquet table, or a tree of ``<section>/<short key>.html`` files.
 

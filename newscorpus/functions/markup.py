@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -46,11 +47,21 @@ COMMON_ENTITIES = {
     "&rdquo;": "”",
     "&amp;": "&",
 }
+# Looked for one by one; the other common ones only where a first look finds any.
+EVERYDAY_ENTITIES = ["&nbsp;", "&lt;", "&gt;", "&quot;", "&#39;", "&amp;"]
 UNCOMMON_ENTITY = (
     "&(?!(?:" + "|".join(name[1:-1] for name in COMMON_ENTITIES) + ");)[#A-Za-z]"
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it.
+
+    A column of its own would do the same, but is written out and read back in between.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def alternatives(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in words)
 
@@ -101,9 +112,11 @@ def tidy(text: Column) -> Column:
 
 def decode_common(text: Column) -> Column:
     """Decode the common entities; a run of no-break spaces becomes one space."""
-    decoded = text
-    for entity, char in COMMON_ENTITIES.items():
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    rare = [e for e in COMMON_ENTITIES if e not in EVERYDAY_ENTITIES]
+    # The ampersand stands outside the alternatives, so that the search skips from one to the next.
+    any_rare = "&(?:" + "|".join(e[1:] for e in rare) + ")"
+    decoded = F.when(F.rlike(text, F.lit(any_rare)), _replaced(text, rare)).otherwise(text)
+    decoded = _replaced(decoded, EVERYDAY_ENTITIES)
     return (
         F.when(F.contains(text, F.lit("&")), join_nbsp(decoded))
         .when(F.contains(text, F.lit("\u00a0")), join_nbsp(text))
@@ -111,6 +124,12 @@ def decode_common(text: Column) -> Column:
     )
 
 
+def _replaced(text: Column, entities: list[str]) -> Column:
+    for entity in entities:
+        text = F.replace(text, F.lit(entity), F.lit(COMMON_ENTITIES[entity]))
+    return text
+
+
 def join_nbsp(text: Column) -> Column:
     return F.regexp_replace(text, r"(?:\x{A0}|&nbsp;)+", " ")
 
@@ -128,24 +147,6 @@ def escape(text: Column) -> Column:
     return text
 
 
-def blocks_of(marked: Column, tags: list[str]) -> Column:
-    """Blocks of marked text as array<struct<pos, tag, text>>, blank ones included.
-
-    ``tag`` is the element that opened the block if it is one of ``tags``; text that follows a
-    closing tag, any other block-level tag, or nothing at all, has the tag ``''``.
-    """
-
-    def block(piece: Column, pos: Column) -> Column:
-        name = F.lower(F.substring_index(piece, NAME_END, 1))
-        return F.struct(
-            pos.cast("bigint").alias("pos"),
-            F.when(name.isin(tags), name).otherwise(F.lit("")).alias("tag"),
-            F.trim(F.substring_index(piece, NAME_END, -1)).alias("text"),
-        )
-
-    return F.transform(F.split(marked, BLOCK), block)
-
-
 def element_text(html: Column, tag: str) -> Column:
     """Inside of the first element of that name, '' when there is none; unclosed runs to the end."""
     return F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}|\z)", 1)
@@ -255,10 +256,36 @@ def outside_ranges(pieces: Column, ranges: Column) -> Column:
     )
 
 
-def inside_first(pieces: Column, ranges: Column) -> Column:
-    """What the first range encloses, null when there is none."""
-    first = F.get(ranges, F.lit(0))
-    length = F.greatest(first["e"] - first["s"] - 1, F.lit(0))
-    return F.when(
-        first.isNotNull(), F.array_join(F.slice(pieces, first["s"] + 2, length), "")
-    )
+def first_of_class(html: Column, classes: list[str], exact: bool) -> tuple[Column, Column]:
+    """Name of the first element with one of the classes, '' without one, and all that follows
+    its open tag."""
+    opening = rf"(?is)<([a-z][a-z0-9]*)(?=\s)[^>]*{class_pattern(classes, exact)}[^>]*>(.*)"
+    return F.regexp_extract(html, opening, 1), F.regexp_extract(html, opening, 2)
+
+
+def until_closed(name: Column, rest: Column) -> Column:
+    """What an element encloses, given its name and the text after its open tag.
+
+    The text is split before every tag of that name only, and the pieces are taken for as long
+    as the element is open: to the end of the page if it is never closed.
+    """
+
+    def step(acc: Column, piece: Column) -> Column:
+        change = (
+            F.when(acc["n"] == 0, 0).when(F.startswith(piece, F.lit("</")), -1).otherwise(1)
+        )
+        depth = F.when(acc["depth"] > 0, acc["depth"] + change).otherwise(0)
+        return F.struct(
+            (acc["n"] + F.when(depth > 0, 1).otherwise(0)).alias("n"), depth.alias("depth")
+        )
+
+    zero = F.struct(F.lit(0).alias("n"), F.lit(1).alias("depth"))
+
+    def take(pieces: Column) -> Column:
+        taken = F.aggregate(pieces, zero, step, lambda acc: acc["n"])
+        return F.substring(F.array_join(F.slice(pieces, F.lit(1), taken), ""), 2, 2147483647)
+
+    # The blank in front keeps the first piece from being a tag.
+    same_name = F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s>/])"))
+    inner = let(F.split(F.concat(F.lit(" "), rest), same_name), take)
+    return F.when(name.isin(VOID_TAGS), F.lit("")).when(name != "", inner)

@@ -2,7 +2,6 @@
 
 Blocks stay an array in the page's own row, so the whole pass is map-only and a page that was
 fetched many times, or a section that holds a third of all pages, never meets in one task.
-Intermediate arrays are columns of their own: an expression used twice is then computed once.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newscorpus import schemas, values
-from newscorpus.functions import markup
+from newscorpus.functions import blocks, markup
 
 BLOCKS = "blocks"
 
@@ -46,6 +45,12 @@ def decode_entities(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def mark_blocks(df: DataFrame, content: str, tags: list[str]) -> DataFrame:
+    """Replace ``content`` by ``_marked``: its text with block boundaries, decoded."""
+    df = df.withColumn("_marked", markup.mark_blocks(F.col(content), tags))
+    return decode_entities(df, "_marked")
+
+
 def split_blocks(
     df: DataFrame,
     content: str = "content",
@@ -58,14 +63,12 @@ def split_blocks(
     ``loose_text`` keeps what stands outside the block elements, under the tag ``''``.
     """
     tags = values.CLEAN_TAGS if tags is None else tags
-    df = df.withColumn("_marked", markup.mark_blocks(F.col(content), tags))
-    df = decode_entities(df, "_marked")
-    df = df.withColumn(
-        BLOCKS, markup.blocks_of(markup.collapse(F.col("_marked")), tags)
-    ).drop("_marked")
-    if loose_text:
-        return df
-    return _keep(df, lambda b: b["tag"] != "")
+    found = blocks.cut(markup.collapse(F.col("_marked")), tags)
+    return (
+        mark_blocks(df, content, tags)
+        .withColumn(BLOCKS, found if loose_text else blocks.tagged_only(found))
+        .drop("_marked")
+    )
 
 
 def explode_blocks(df: DataFrame, *keep: str) -> DataFrame:
@@ -77,18 +80,8 @@ def explode_blocks(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.inline_outer(BLOCKS)).where(F.col("pos").isNotNull())
 
 
-def computed_once(df: DataFrame, *columns: str) -> DataFrame:
-    """Keep later filters on these columns from being pushed into what computes them.
-
-    Filters pass through projections with the column's whole expression in tow, which would
-    then run twice. They do not pass a generator, so the columns go through one.
-    """
-    others = [c for c in df.columns if c not in columns]
-    return df.select(*others, F.inline_outer(F.array(F.struct(*columns))))
-
-
 def drop_empty_blocks(df: DataFrame) -> DataFrame:
-    return _keep(df, lambda b: b["text"] != "")
+    return df.withColumn(BLOCKS, blocks.nonempty(F.col(BLOCKS)))
 
 
 def drop_blocklisted(
@@ -96,67 +89,25 @@ def drop_blocklisted(
 ) -> DataFrame:
     """Drop blocks holding (``contains``) or being (``equals``) a listed word."""
     words = values.CLEAN_BLOCKLIST if words is None else words
-    return _keep(df, lambda b: ~listed(b["text"], words, mode))
-
-
-def listed(text: Column, words: list[str], mode: str = "contains") -> Column:
-    if mode == "equals":
-        return text.isin(words)
-    if mode != "contains":
-        raise ValueError(f"unknown mode {mode!r}")
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | F.contains(text, F.lit(word))
-    return hit
+    return df.withColumn(BLOCKS, blocks.unlisted(F.col(BLOCKS), words, mode))
 
 
 def dedup_blocks(df: DataFrame) -> DataFrame:
-    """Keep the first block of each text within a page.
-
-    Sorting by (text, pos) puts repeats side by side, so a page costs n log n, not n squared.
-    """
-    df = df.withColumn(
-        "_by_text",
-        F.sort_array(
-            F.transform(BLOCKS, lambda b: F.struct(b["text"], b["pos"], b["tag"]))
-        ),
-    )
-    first = F.filter(
-        "_by_text",
-        lambda b, i: ~F.get("_by_text", i - 1)["text"].eqNullSafe(b["text"]),
-    )
-    return df.withColumn(
-        BLOCKS,
-        F.sort_array(F.transform(first, lambda b: F.struct(b["pos"], b["tag"], b["text"]))),
-    ).drop("_by_text")
+    """Keep the first block of each text within a page."""
+    return df.withColumn(BLOCKS, blocks.first_copies(F.col(BLOCKS)))
 
 
 def tag_blocks(df: DataFrame, headings: list[str] | None = None) -> DataFrame:
     """Headings of any level become ``h2``, everything else ``p``."""
     headings = values.CLEAN_HEADINGS if headings is None else headings
-    return df.withColumn(
-        BLOCKS,
-        F.transform(
-            BLOCKS,
-            lambda b: F.struct(
-                b["pos"],
-                F.when(b["tag"].isin(headings), F.lit("h2")).otherwise(F.lit("p")).alias("tag"),
-                b["text"],
-            ),
-        ),
-    )
+    return df.withColumn(BLOCKS, blocks.simplified(F.col(BLOCKS), headings))
 
 
 def assemble_articles(df: DataFrame, escape: bool = False) -> DataFrame:
     """Add ``body``, one tagged line per block, and its block and byte counts."""
-
-    def line(b: Column) -> Column:
-        text = markup.escape(b["text"]) if escape else b["text"]
-        return F.concat(F.lit("<"), b["tag"], F.lit(">"), text, F.lit("</"), b["tag"], F.lit(">"))
-
     return (
         df.withColumn("n_blocks", F.size(BLOCKS).cast("bigint"))
-        .withColumn("body", F.array_join(F.transform(BLOCKS, line), "\n"))
+        .withColumn("body", blocks.joined(F.col(BLOCKS), escape))
         .withColumn("n_bytes", F.octet_length("body").cast("bigint"))
     )
 
@@ -194,21 +145,6 @@ def parse_provenance(df: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
-def clean_blocks(
-    df: DataFrame,
-    html: str = "html",
-    words: list[str] | None = None,
-    mode: str = "contains",
-) -> DataFrame:
-    """All block steps on one page row; adds ``blocks`` and a count after every step."""
-    df = split_blocks(main_content(df, html, "_content"), "_content").drop("_content")
-    df = drop_empty_blocks(df)
-    df = _count(df, "n_raw")
-    df = _count(drop_blocklisted(df, words, mode), "n_listed_out")
-    df = tag_blocks(dedup_blocks(df))
-    return computed_once(df, BLOCKS, "n_raw", "n_listed_out")
-
-
 def clean_corpus(
     df: DataFrame,
     html: str = "html",
@@ -220,17 +156,32 @@ def clean_corpus(
     ``n_raw`` counts blocks with text, ``n_unwanted`` those dropped by the word list,
     ``n_repeated`` later copies of a text, ``n_blocks`` what the body holds.
     """
-    df = assemble_articles(clean_blocks(df, html, words, mode))
+    words = values.CLEAN_BLOCKLIST if words is None else words
+    df = mark_blocks(main_content(df, html, "_content"), "_content", values.CLEAN_TAGS)
+
+    def cleaned(kept: Column) -> Column:
+        return blocks.simplified(blocks.first_copies(kept), values.CLEAN_HEADINGS)
+
+    def record(raw: Column) -> Column:
+        return markup.let(
+            blocks.unlisted(raw, words, mode),
+            lambda kept: F.struct(
+                F.size(raw).cast("bigint").alias("n_raw"),
+                (F.size(raw) - F.size(kept)).cast("bigint").alias("n_unwanted"),
+                F.size(kept).cast("bigint").alias("_n_kept"),
+                cleaned(kept).alias(BLOCKS),
+            ),
+        )
+
+    cut = blocks.cut(markup.collapse(F.col("_marked")), values.CLEAN_TAGS)
+    # A generator, since later filters on these columns do not pass one. They would pass a
+    # projection, taking along a copy of the whole expression to be computed twice.
+    df = df.select(
+        *[c for c in df.columns if c not in (html, "_content", "_marked")],
+        F.inline_outer(F.array(markup.let(blocks.nonempty(cut), record))),
+    )
     return (
-        df.withColumn("n_unwanted", F.col("n_raw") - F.col("n_listed_out"))
-        .withColumn("n_repeated", F.col("n_listed_out") - F.col("n_blocks"))
-        .drop(html, BLOCKS, "n_listed_out")
+        assemble_articles(df)
+        .withColumn("n_repeated", F.col("_n_kept") - F.col("n_blocks"))
+        .drop(BLOCKS, "_n_kept")
     )
-
-
-def _keep(df: DataFrame, wanted) -> DataFrame:
-    return df.withColumn(BLOCKS, F.filter(BLOCKS, wanted))
-
-
-def _count(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn(name, F.size(BLOCKS).cast("bigint"))

@@ -17,7 +17,11 @@ def strip_chrome(
 ) -> DataFrame:
     """Remove every element of the given classes with all it encloses."""
     classes = values.CHROME_CLASSES if classes is None else classes
-    found = _containers(df, html, classes, exact)
+    # Pages without any such class are not split at all: their arrays stay null.
+    named = F.rlike(html, F.lit("(?i)<[a-z][^>]*" + markup.class_pattern(classes, exact)))
+    found = df.withColumn(
+        "_pieces", F.when(named, markup.split_at_tags(F.col(html)))
+    ).withColumn("_ranges", markup.container_ranges(F.col("_pieces"), classes, exact))
     return found.withColumn(
         html,
         F.when(
@@ -35,19 +39,14 @@ def scope_container(
 ) -> DataFrame:
     """Narrow to the inside of the first element of a class; the whole page, or null, without one."""
     classes = values.LISTING_CLASSES if classes is None else classes
-    found = _containers(df, html, classes, exact)
-    inner = markup.inside_first(F.col("_pieces"), F.col("_ranges"))
+    name, rest = markup.first_of_class(F.col(html), classes, exact)
+    found = df.withColumn("_name", name).withColumn(
+        "_rest", F.when(F.col("_name") != "", rest)
+    )
+    inner = markup.until_closed(F.col("_name"), F.col("_rest"))
     return found.withColumn(
         html, F.coalesce(inner, F.col(html)) if fallback else inner
-    ).drop("_pieces", "_ranges")
-
-
-def _containers(df: DataFrame, html: str, classes: list[str], exact: bool) -> DataFrame:
-    """Pages without any such class are not split at all: their arrays stay null."""
-    named = F.rlike(html, F.lit("(?i)<[a-z][^>]*" + markup.class_pattern(classes, exact)))
-    return df.withColumn("_pieces", F.when(named, markup.split_at_tags(F.col(html)))).withColumn(
-        "_ranges", markup.container_ranges(F.col("_pieces"), classes, exact)
-    )
+    ).drop("_name", "_rest")
 
 
 def extract_links(df: DataFrame, html: str = "html", outer: str = "h3") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newscorpus import values
-from newscorpus.operators.cleaning import listed
+from newscorpus.functions.blocks import listed
 
 
 def script_share(df: DataFrame, text: str = "body", script: str = "Gujarati") -> DataFrame:

@@ -94,6 +94,7 @@ def test_blocklist_modes(spark):
             cleaning.drop_empty_blocks(cleaning.drop_blocklisted(df, words, mode))), "pos")]
 
     assert kept(None, "contains") == ["text"]
+    assert kept([f"w{i}" for i in range(200)] + ["સમાચાર"], "contains") == ["ગુજરાત", "text"]
     assert kept(["ગુજરાત"], "equals") == ["ગુજરાત સમાચાર", "text"]
     with pytest.raises(ValueError):
         cleaning.drop_blocklisted(df, ["x"], "regex")

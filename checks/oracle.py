@@ -13,9 +13,16 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# Names that HTML decodes without their semicolon too. Some given pages end on a cut "&amp".
+UNTERMINATED = ["&nbsp;", "&lt;", "&gt;", "&quot;", "&copy;", "&middot;", "&amp;"]
+
+
 def decode(x: str) -> str:
     for entity, char in COMMON_ENTITIES.items():
-        x = f"replace({x}, {quoted(entity)}, {quoted(char)})"
+        if entity in UNTERMINATED:
+            x = f"regexp_replace({x}, '{entity}?', {quoted(char)}, 'g')"
+        else:
+            x = f"replace({x}, {quoted(entity)}, {quoted(char)})"
     return rf"regexp_replace({x}, '(\x{{A0}}|&nbsp;)+', ' ', 'g')"
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newscorpus import values
+from newscorpus.functions import keys
 from newscorpus.operators import cleaning, compilation, discovery, ingest, ledger
-from newscorpus.operators.keyed import one_copy
+from newscorpus.operators.keyed import first_per_key, one_copy
 from newscorpus.operators.sections import select_sections
 from newscorpus.sources.tables import write_corpus, write_manifest
 
@@ -41,6 +42,20 @@ def discover(
     return discovery.stamp_run(discovery.discovery_rank(links), run_ts)
 
 
+def sections_to_do(
+    sections: DataFrame, names: list[str] | None, previous: DataFrame | None
+) -> DataFrame | None:
+    """Keys of the sections a run works on: the named ones, else those the ledger has not seen
+    completed, else no restriction at all (None)."""
+    if names is not None:
+        chosen = select_sections(sections, names)
+    elif previous is not None:
+        chosen = ledger.resume_sections(sections, previous)
+    else:
+        return None
+    return chosen.select(F.lower("section_key").alias("section_key")).distinct()
+
+
 def run_archive(
     spark: SparkSession,
     listings: DataFrame,
@@ -50,6 +65,8 @@ def run_archive(
     out_dir: str,
     run_ts: str,
     names: list[str] | None = None,
+    previous: DataFrame | None = None,
+    fetch_log: DataFrame | None = None,
     max_pages: int | None = None,
     outer: str = "h3",
     row_id: str = "page_id",
@@ -57,31 +74,39 @@ def run_archive(
     """Discover, clean, compile, account.
 
     ``pages`` has section_key, article_key, url, html; ``fetches`` says when each article was
-    published and fetched. The dates join the articles only after the HTML is gone, and bodies
-    are left out of ranking: what is sorted and joined stays narrow. Articles are written
-    between the two halves, since both the compilation and later runs read them.
+    published and fetched; ``previous`` is the ledger to resume from, and ``fetch_log`` tells
+    which listing pages a crawl got to use.
+
+    The dates join the articles only after the HTML is gone, and bodies are left out of ranking:
+    what is sorted and joined stays narrow. Articles are written between the two halves, since
+    both the compilation and later runs read them. Sections of earlier runs stay as written.
     """
-    if names is not None:
-        chosen = select_sections(sections, names).select(F.lower("section_key").alias("section_key"))
-        listings = listings.join(chosen, "section_key", "left_semi")
-        pages = pages.join(chosen, "section_key", "left_semi")
+    chosen = sections_to_do(sections, names, previous)
 
-    links = discover(listings, run_ts, max_pages, outer)
+    def restricted(df: DataFrame) -> DataFrame:
+        return df if chosen is None else df.join(chosen, "section_key", "left_semi")
+
+    if fetch_log is not None:
+        used = discovery.listing_stop(fetch_log, max_pages=max_pages)
+        used = used.select("section_key", "page_no").distinct()
+        listings = listings.join(used, ["section_key", "page_no"], "left_semi")
+    pages = restricted(pages)
+    links = discover(restricted(listings), run_ts, max_pages, outer)
     pending = ingest.pending_articles(links, pages)
-    ranked = links.withColumn("article_key", F.md5(F.col("url").cast("binary")))
+    ranked = links.withColumn("article_key", keys.article_key(F.col("url")))
 
     cleaned = cleaning.clean_corpus(one_copy(pages, KEY, row_id))
     write_corpus(cleaned, f"{out_dir}/articles")
-    stored = spark.read.parquet(f"{out_dir}/articles")
+    stored = restricted(spark.read.parquet(f"{out_dir}/articles"))
     articles, rejects = cleaning.cleaning_rejects(stored)
 
-    dated = compilation.skip_unreadable(articles).drop("body").join(fetches, KEY, "left")
+    times = first_per_key(fetches, KEY, ["fetched_at"])
+    dated = compilation.skip_unreadable(articles).drop("body").join(times, KEY, "left")
     write_corpus(compilation.compile_monthly(dated, ranked), f"{out_dir}/compiled")
     compiled = spark.read.parquet(f"{out_dir}/compiled")
 
     manifest = compilation.archive_manifest(compiled, sections)
     write_manifest(manifest, f"{out_dir}/manifest")
-    counts = links.groupBy("section_key").agg(F.count("*").alias("n_links"))
     return Archive(
         links=links,
         pending=pending,
@@ -90,5 +115,18 @@ def run_archive(
         compiled=compiled,
         manifest=manifest,
         covers=compilation.cover_rows(compiled, sections, run_ts, values.ARCHIVE_TITLE),
-        ledger=ledger.completed_rows(counts, run_ts),
+        ledger=next_ledger(links, sections if chosen is None else chosen, previous, run_ts),
+    )
+
+
+def next_ledger(
+    links: DataFrame, sections: DataFrame, previous: DataFrame | None, run_ts: str
+) -> DataFrame:
+    """Every section worked on is completed, also one that turned out to have no links."""
+    found = links.groupBy("section_key").agg(F.count("*").alias("n"))
+    worked = sections.select(F.lower("section_key").alias("section_key"), F.lit(0).alias("n"))
+    counts = (
+        found.unionByName(worked).groupBy("section_key").agg(F.sum("n").alias("n_links"))
     )
+    rows = ledger.completed_rows(counts, run_ts)
+    return rows if previous is None else ledger.update_ledger(previous, rows)

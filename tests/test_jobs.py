@@ -136,6 +136,21 @@ def test_archive_run(spark, tmp_path):
     assert files == [("Crime/News_Archive_Crime_2024-05", 1), ("World/News_Archive_World_2024-05", 3)]
     assert rows(run.ledger.select("section_key", "n_links"), "section_key") == [("crime", 1), ("world", 3)]
     assert run.covers.count() == 2
+
+    # Resumed with an empty listing of the one section that is left: the others stay as they are.
+    log = spark.createDataFrame([("sports", 1, True, 0)], "section_key string, page_no bigint, ok boolean, n_links bigint")
+    three = tables.read_sections(spark).where("section_key in ('world', 'crime', 'sports')")
+    before = rows(run.compiled, "section_key", "position")
+    more = archive.run_archive(
+        spark, listings, pages, fetches, three, str(tmp_path), "2026-01-02 00:00:00", previous=run.ledger, fetch_log=log,
+    )
+    assert rows(more.ledger.select("section_key", "n_links"), "section_key") == [("crime", 1), ("sports", 0), ("world", 3)]
+    after = more.compiled.select(*run.compiled.columns)
+    assert rows(after.where("section_key <> 'sports'"), "section_key", "position") == before
+    assert [r["article_key"] for r in after.where("section_key = 'sports'").collect()] == [
+        r["article_key"] for r in pages.where("section_key = 'sports'").collect()]
+    assert more.manifest.where("level = 3").first()["n_articles"] == 5
+    assert archive.sections_to_do(three, None, more.ledger).count() == 0
     kept = run.manifest.where("level = 3").first()["n_articles"]
     assert kept == run.articles.count()
     assert (tmp_path / "manifest").exists()

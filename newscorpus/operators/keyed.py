@@ -27,6 +27,12 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 MAX_BROADCAST_KEYS = 100_000
 
 
+def broadcast_if_few(df: DataFrame) -> DataFrame:
+    """Mark rows of keys for broadcast if counting shows that they are few."""
+    few = df.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
+    return F.broadcast(df) if few else df
+
+
 def one_copy(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     """One row per key for wide rows: the one with the least ``row_id``, which must be unique.
 
@@ -42,10 +48,8 @@ def one_copy(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
         .drop("_n")
         .checkpoint()
     )
-    few = repeated.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
-    side = F.broadcast(repeated) if few else repeated
     return (
-        df.join(side, keys, "left")
+        df.join(broadcast_if_few(repeated), keys, "left")
         .where(F.col("_keep").isNull() | (F.col(row_id) == F.col("_keep")))
         .select(*df.columns)
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newscorpus import values
 from newscorpus.functions import keys
 from newscorpus.operators import cleaning, compilation, discovery, ingest, ledger
-from newscorpus.operators.keyed import first_per_key, one_copy
+from newscorpus.operators.keyed import broadcast_if_few, first_per_key, one_copy
 from newscorpus.operators.sections import select_sections
 from newscorpus.sources.tables import write_corpus, write_manifest
 
@@ -82,13 +82,15 @@ def run_archive(
     both the compilation and later runs read them. Sections of earlier runs stay as written.
     """
     chosen = sections_to_do(sections, names, previous)
+    if chosen is not None:
+        chosen = broadcast_if_few(chosen)
 
     def restricted(df: DataFrame) -> DataFrame:
         return df if chosen is None else df.join(chosen, "section_key", "left_semi")
 
     if fetch_log is not None:
         used = discovery.listing_stop(fetch_log, max_pages=max_pages)
-        used = used.select("section_key", "page_no").distinct()
+        used = broadcast_if_few(used.select("section_key", "page_no").distinct())
         listings = listings.join(used, ["section_key", "page_no"], "left_semi")
     pages = restricted(pages)
     links = discover(restricted(listings), run_ts, max_pages, outer)

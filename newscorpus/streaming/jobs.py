@@ -14,8 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newscorpus import schemas
 from newscorpus.operators.cleaning import clean_corpus
-from newscorpus.operators.keyed import one_copy
+from newscorpus.operators.keyed import broadcast_if_few, one_copy
 from newscorpus.operators.ledger import completed_rows, update_ledger
+from newscorpus.session import shared_dir
 from newscorpus.sources.tables import read_if_exists
 
 KEY = ["section_key", "article_key"]
@@ -49,15 +50,19 @@ def stream_clean(
     """Clean pages whose article is not stored yet, and append them.
 
     ``prepare`` adds section_key and article_key. Articles of earlier batches are left out by an
-    anti-join on the stored keys, which is exact over all time and needs no stream state; only
-    the two key columns of the store are read.
+    anti-join on the stored keys, which is exact over all time and needs no stream state. Only
+    key columns are read and shuffled for it: the pages themselves meet just the keys of this
+    batch that are stored already, which are few in the usual case.
     """
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = read_if_exists(spark, out_dir, KEY_SCHEMA).where(F.col("batch_id") < batch_id)
-        fresh = one_copy(prepare(batch), KEY, row_id).join(
-            stored.select(*KEY), KEY, "left_anti"
+        keyed = prepare(batch)
+        seen = keyed.select(*KEY).distinct().join(stored.select(*KEY), KEY, "left_semi")
+        shared_dir(spark)
+        fresh = one_copy(keyed, KEY, row_id).join(
+            broadcast_if_few(seen.checkpoint()), KEY, "left_anti"
         )
         clean_corpus(fresh).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 

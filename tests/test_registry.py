@@ -7,13 +7,13 @@ from conftest import SMALL
 
 import __spark_entry__ as entry
 from checks.compare import compare, duck
-
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+from checks.oracle import ORACLES
+from checks.queries import QUERIES
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry_runs(spark):
@@ -22,4 +22,4 @@ def test_entry_runs(spark):
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, name):
-    assert compare(QUERIES[name](spark, SMALL), duck(SMALL), ORACLES[name]) == ""
+    assert compare(entry.queries()[name](spark, SMALL), duck(SMALL), ORACLES[name]) == ""

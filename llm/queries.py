@@ -6,7 +6,9 @@ from llm.embed import OP9_SQL, op9_int8_near_dedup
 from llm.language import op3_crf_language
 from llm.packing import op10_mixture_packing
 from llm.pii import op1_pii_anchor_expansion
+from llm.repeats import op8_difference_cover_dedup
 from llm.sharding import OP6_SQL, op6_jump_hash_shards
+from llm.sigtree import op7_signature_tree_join
 from llm.vafile import OP4_SQL, op4_va_file_top_k
 
 QUERIES = {
@@ -18,6 +20,8 @@ QUERIES = {
         op4_va_file_top_k,
         op5_bpe_segment_tree,
         op6_jump_hash_shards,
+        op7_signature_tree_join,
+        op8_difference_cover_dedup,
         op9_int8_near_dedup,
         op10_mixture_packing,
     )

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from llm.common import by_bucket, components, pack, packed_schema, stored, table, text_bytes, unpack
 from llm.shingles import shingle_sets
-from newscorpus.operators.keyed import broadcast_if_few
+from newscorpus.operators.keyed import broadcast_if_few, first_per_key
 
 #: Similarity as a fraction; 3/4 of the union.
 NUMERATOR, DENOMINATOR = 75, 100
@@ -350,7 +350,7 @@ def candidates(docs: DataFrame, tokens: int) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of (doc_id, text).
+    """doc_id, n_shingles, component_id, tid (xxhash64 of the text) for every row of (doc_id, text).
 
     Documents link when their sets of five-word shingles have at least three quarters of their
     union in common; a component is named by its smallest doc_id. Texts that are null, empty or
@@ -391,9 +391,27 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         joined.select(F.col("node").alias("key"), "component").join(roots, "component").select("key", "root"), "key", "left"
     ).select("key", F.coalesce("root", "least").alias("root"))
     return sets.join(named, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("root")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("root")).alias("component_id"), "tid"
     )
 
 
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay when each component keeps the document of its smallest doc_id.
+
+    Documents without words all stay. Rows without a doc_id count as documents of ids of their own,
+    by their text. Of rows equal in doc_id and text one stays.
+    """
+    own = F.coalesce("doc_id", F.xxhash64("text", F.lit("id")).bitwiseOR(F.lit(-(1 << 63))))
+    found = similar_documents(docs.select(own.alias("doc_id"), "text"))
+    stays = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_own"), F.col("tid").alias("_tid")).agg(F.count("*").alias("_n"))
+    stays = stored(stays, "stays")
+    rows = docs.join(stays, (own == F.col("_own")) & (F.xxhash64("text") == F.col("_tid")))
+    again = rows.where("_n > 1")
+    return (
+        rows.where("_n = 1").select(*docs.columns)
+        .unionAll(first_per_key(again, ["_own", "_tid"], []).select(*docs.columns))
+    )
+
+
 def op7_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))

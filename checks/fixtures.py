@@ -194,3 +194,48 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_small(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", "lang", F.concat(F.lit("<p>"), text, F.lit("</p>")).alias("html")
     )
+
+
+def spanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose paragraphs have their first and last words in spans."""
+    first = F.regexp_replace("html", r"(<p>)([^\s<&]+)(\s)", "$1<span>$2</span>$3")
+    last = F.regexp_replace(first, r"(\s)([^\s<&]+)(</p>)", '$1<span class="w"><b>$2</b></span>$3')
+    return corpus(spark, sf_dir).withColumn("html", last)
+
+
+# What no parser reads: comments, a script, a style, all with look-alikes of what is searched for.
+DECOY = (
+    '<!-- <h1>old</h1><ul><li><a href="/old">o</a></li></ul><p>old > new</p> -->'
+    "<script>var s = \"<li><a href='/js'>j</a></li><h1>js</h1><p>js</p>\";</script>"
+    "<style>h1:after{content:'<h1>css</h1>'}</style>"
+)
+
+
+def decoyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages behind such decoys, with ">" in quoted attributes and a block inside the heading."""
+    html = F.concat(F.lit(DECOY), F.col("html"))
+    for plain, odd in (
+        ("<p>", "<p data-x='1 > 0' class=it's>"),
+        ("<li>", '<li data-q="a > b">'),
+        ("<h1>", '<h1 title="x > y"><div>'),
+        ("</h1>", "</div></h1>"),
+    ):
+        html = F.replace(html, F.lit(plain), F.lit(odd))
+    return corpus(spark, sf_dir).withColumn("html", html)
+
+
+def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a date that only the attribute of its element tells."""
+    timed = F.concat(F.lit('</h1><time title="a > b" datetime="'), "day", F.lit("T06:07:08\">દિવસ</time>"))
+    return page_day(corpus(spark, sf_dir)).withColumn("html", F.replace(F.col("html"), F.lit("</h1>"), timed))
+
+
+def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fetch log with two attempts at each page; some failures are nulls."""
+    return fetch_log(spark, sf_dir).select(
+        "section_key",
+        F.floor((F.col("page_no") + 1) / 2).cast("bigint").alias("page_no"),
+        "event_id",
+        F.when(F.col("ok") | (F.col("event_id") % 2 == 0), F.col("ok")).alias("ok"),
+        "n_links",
+    )

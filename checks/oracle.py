@@ -30,8 +30,12 @@ def collapse(x: str) -> str:
     return rf"regexp_replace({x}, '[ \t\n\r\f\x0B\x{{A0}}]+', ' ', 'g')"
 
 
+# What stands between a tag's name and its end, quoted values in one piece.
+ATTRS = r"""(?:[^>=]|=\s*(?:"[^"]*"|''[^'']*'')?)*"""
+
+
 def strip_tags(x: str) -> str:
-    return f"regexp_replace({x}, '</?[a-zA-Z!?][^>]*>', ' ', 'g')"
+    return f"regexp_replace({x}, '</?[a-zA-Z!?]{ATTRS}>', ' ', 'g')"
 
 
 def readable(x: str) -> str:
@@ -41,21 +45,21 @@ def readable(x: str) -> str:
 def drop(x: str, tags: list[str]) -> str:
     x = f"regexp_replace({x}, '(?is)<!--.*?-->', ' ', 'g')"
     for tag in tags:
-        x = rf"regexp_replace({x}, '(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>', ' ', 'g')"
+        x = rf"regexp_replace({x}, '(?is)<{tag}(\s{ATTRS})?>.*?</{tag}\s*>', ' ', 'g')"
     return x
 
 
 def main(x: str) -> str:
     return (
         rf"regexp_replace({drop(x, values.DROP_TAGS)}, "
-        r"'(?is)^.*?<article(\s[^>]*)?>(.*)</article\s*>.*$', '\2')"
+        rf"'(?is)^.*?<article(\s{ATTRS})?>(.*)</article\s*>.*$', '\2')"
     )
 
 
 def marked(x: str, tags: list[str]) -> str:
     names = "|".join(sorted({*tags, *values.BLOCK_LEVEL}))
     x = (
-        rf"regexp_replace({x}, '(?i)<(/?({names}))([\s/][^>]*)?>', "
+        rf"regexp_replace({x}, '(?i)<(/?({names}))([\s/]{ATTRS})?>', "
         r"chr(1) || '\1' || chr(2), 'g')"
     )
     return collapse(decode(f"chr(2) || {strip_tags(x)}"))
@@ -296,12 +300,14 @@ SELECT section_key, short_key, url, n_urls FROM k JOIN g USING (section_key, sho
     )
 oracle(
     "strip_chrome",
-    """SELECT page_id, regexp_replace(html, '(?s)<div class="ad">.*?</div>', '', 'g') AS html FROM pages""",
+    f"""SELECT page_id, regexp_replace({drop("html", ["script", "style"])}, '(?s)<div class="ad">.*?</div>', '', 'g') AS html
+FROM pages""",
 )
 oracle(
     "scope_container",
-    """SELECT page_id, CASE WHEN contains(html, '<div class="ad">')
-  THEN regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) ELSE html END AS html FROM pages""",
+    f"""SELECT page_id, CASE WHEN contains(html, '<div class="ad">')
+  THEN regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) ELSE html END AS html
+FROM (SELECT page_id, {drop("html", ["script", "style"])} AS html FROM pages)""",
 )
 oracle("extract_links", f"WITH {P}, {LINKS} SELECT * FROM links WHERE url <> ''")
 oracle("dedup_links", f"WITH {P}, {LINKS} SELECT * FROM firsts")
@@ -326,6 +332,30 @@ SELECT section_key, page_no, event_id, ok, stop_page, stop_reason
 FROM log LEFT JOIN stops USING (section_key)
 WHERE (stop_page IS NULL OR page_no < stop_page) AND page_no <= 60""",
 )
+STOPS = """stretches AS (
+  SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY section_key ORDER BY page_no) AS stretch
+  FROM tried),
+counted AS (
+  SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (
+    PARTITION BY section_key, stretch ORDER BY page_no) AS in_a_row FROM stretches),
+stops AS (
+  SELECT section_key, min(page_no) AS stop_page,
+         arg_min(CASE WHEN ok THEN 'no links' ELSE 'errors' END, page_no) AS stop_reason
+  FROM counted WHERE in_a_row = 4 OR (ok AND n_links = 0) GROUP BY section_key)"""
+oracle(
+    "listing_stop_uncapped",
+    f"""WITH {LOG}, tried AS (SELECT * FROM log), {STOPS}
+SELECT section_key, page_no, event_id, stop_page, stop_reason FROM log LEFT JOIN stops USING (section_key)
+WHERE stop_page IS NULL OR page_no < stop_page""",
+)
+oracle(
+    "listing_stop_attempts",
+    f"""WITH {LOG}, tried AS (
+  SELECT section_key, (page_no + 1) // 2 AS page_no, bool_or(ok) AS ok, max(n_links) FILTER (ok) AS n_links
+  FROM log GROUP BY ALL), {STOPS}
+SELECT * FROM stops""",
+)
+oracle("extract_links_decoys", f"WITH {P}, {LINKS} SELECT * FROM links WHERE url <> ''")
 oracle(
     "discovery_counts",
     f"""WITH {P}, {LINKS}
@@ -425,6 +455,16 @@ SELECT page_id, n_raw, n_raw AS n_unwanted,
 FROM counts WHERE kept = 0""",
 )
 oracle("clean_corpus", f"WITH {CLEANED} SELECT * FROM c")
+for key in ("clean_inline_spans", "clean_decoys"):
+    oracle(key, f"WITH {CLEANED} SELECT page_id, body, n_raw, n_unwanted, n_repeated FROM c")
+oracle(
+    "article_date_attribute",
+    f"""SELECT page_id, 'દિવસ' AS date_text, {DAY} + TIME '06:07:08' AS published_at FROM pages""",
+)
+oracle(
+    "article_title_decoys",
+    f"""SELECT page_id, {readable("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS title FROM pages""",
+)
 oracle(
     "article_title",
     f"""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'untitled' ELSE

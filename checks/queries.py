@@ -192,6 +192,23 @@ def listing_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("section_key", "page_no", "event_id", "ok", "stop_page", "stop_reason")
 
 
+@query
+def listing_stop_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = discovery.listing_stop(fx.fetch_log(spark, sf_dir))
+    return kept.select("section_key", "page_no", "event_id", "stop_page", "stop_reason")
+
+
+@query
+def listing_stop_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.listing_stops(fx.attempt_log(spark, sf_dir))
+
+
+@query
+def extract_links_decoys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fx.decoyed(spark, sf_dir).withColumnRenamed("page_id", "page_no")
+    return discovery.extract_links(discovery.strip_chrome(df), outer="li", raw=False)
+
+
 @query
 def discovery_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.discovery_counts(discovery.dedup_links(fx.links(spark, sf_dir)))
@@ -335,6 +352,29 @@ def cleaning_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.select("page_id", "n_raw", "n_unwanted", "reason")
 
 
+@query
+def clean_inline_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = cleaning.clean_corpus(fx.spanned(spark, sf_dir), words=fx.WORDS)
+    return cleaned.select("page_id", "body", "n_raw", "n_unwanted", "n_repeated")
+
+
+@query
+def clean_decoys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = cleaning.clean_corpus(fx.decoyed(spark, sf_dir), words=fx.WORDS)
+    return cleaned.select("page_id", "body", "n_raw", "n_unwanted", "n_repeated")
+
+
+@query
+def article_title_decoys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles.article_title(fx.decoyed(spark, sf_dir)).select("page_id", "title")
+
+
+@query
+def article_date_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dated = articles.article_date(fx.stamped(spark, sf_dir))
+    return dated.select("page_id", "date_text", "published_at")
+
+
 @query
 def article_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fx.corpus(spark, sf_dir).select(

@@ -23,7 +23,11 @@ BLOCK = "\u0001"
 NAME_END = "\u0002"
 # Whitespace other than a lone space, which may stay as it is.
 WHITESPACE = r"[ \t\n\r\f\x0B\x{A0}]{2,}|[\t\n\r\f\x0B\x{A0}]"
-ANY_TAG = r"</?[a-zA-Z!?][^>]*>"
+# What stands between a tag's name and its end. Quoted values may hold ">"; quotes elsewhere are
+# plain characters. Possessive throughout, so long attributes neither recurse nor backtrack.
+ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+ONE_ATTR = r"""(?:\s*+[^\s=>]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)"""
+ANY_TAG = rf"</?[a-zA-Z!?]{ATTRS}>"
 
 # Names decoded in place; anything else goes through the standard library's table.
 # The ampersand comes last, so that text is decoded once.
@@ -73,22 +77,29 @@ def drop_elements(html: Column, tags: list[str] | None = None) -> Column:
     pattern = (
         r"(?is)<(?:!--.*?--"
         rf'|p class="{values.FOOTER_CLASS}">Source:.*?</p'
-        rf"|({alternatives(tags)})(?:\s[^>]*)?>.*?</\1\s*)>"
+        rf"|({alternatives(tags)})(?:\s{ATTRS})?>.*?</\1\s*)>"
     )
     return F.regexp_replace(html, pattern, " ")
 
 
+def visible(html: Column) -> Column:
+    """The page without what a parser never shows as elements: comments, scripts and styles."""
+    pattern = rf"(?is)<(?:!--.*?(?:--|\z)|(script|style)(?:\s{ATTRS})?>.*?</\1\s*)(?:>|\z)"
+    return F.regexp_replace(html, pattern, " ")
+
+
 def article_or_all(html: Column, tag: str = "article") -> Column:
     """Inside of the article element (first open tag to last close tag), else the text as it is."""
     return F.regexp_replace(
-        html, rf"(?is)^.*?<{tag}(?:\s[^>]*)?>(.*)</{tag}\s*>.*$", "$1"
+        html, rf"(?is)^.*?<{tag}(?:\s{ATTRS})?>(.*)</{tag}\s*>.*$", "$1"
     )
 
 
 def mark_blocks(content: Column, tags: list[str]) -> Column:
     """Block-level tags become marks, inline tags a space; both in one pass."""
     names = alternatives(sorted({*tags, *values.BLOCK_LEVEL}))
-    boundary = rf"(?i)<(/?(?:{names}))(?:[\s/][^>]*)?>|{ANY_TAG}"
+    boundary = rf"(?i)<(/?(?:{names}))(?:[\s/]{ATTRS})?>|{ANY_TAG}"
+    content = _whole_headings(content)
     taken = F.contains(content, F.lit(BLOCK)) | F.contains(content, F.lit(NAME_END))
     free = F.when(taken, F.translate(content, BLOCK + NAME_END, "")).otherwise(content)
     marked = F.regexp_replace(free, boundary, f"{BLOCK}$1{NAME_END}")
@@ -97,6 +108,18 @@ def mark_blocks(content: Column, tags: list[str]) -> Column:
     )
 
 
+def _whole_headings(content: Column) -> Column:
+    """Block-level tags inside an open heading become a space: a heading is one block.
+
+    A heading that is never closed holds nothing. Only pages with such tags are rewritten.
+    """
+    inner = alternatives([t for t in values.BLOCK_LEVEL if not re.fullmatch("h[1-6]", t)])
+    heading = r"/?h[1-6][\s/>]"
+    nested = rf"(?i)<h[1-6](?=[\s/>]){ATTRS}>(?:[^<]++|<(?!{heading}|/?(?:{inner})[\s/>]))*+</?(?:{inner})[\s/>]"
+    tag = rf"(?i)</?(?:{inner})(?:[\s/]{ATTRS})?>(?=(?:[^<]++|<(?!{heading}))*+</h[1-6])"
+    return F.when(F.rlike(content, F.lit(nested)), F.regexp_replace(content, tag, " ")).otherwise(content)
+
+
 def collapse(text: Column) -> Column:
     return F.regexp_replace(text, WHITESPACE, " ")
 
@@ -149,7 +172,7 @@ def escape(text: Column) -> Column:
 
 def element_text(html: Column, tag: str) -> Column:
     """Inside of the first element of that name, '' when there is none; unclosed runs to the end."""
-    return F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}|\z)", 1)
+    return F.regexp_extract(html, rf"(?is)<{tag}(?:\s{ATTRS})?>(.*?)(?:</{tag}|\z)", 1)
 
 
 def has_element(html: Column, tag: str) -> Column:
@@ -184,7 +207,7 @@ def class_pattern(classes: list[str], exact: bool) -> str:
 def split_at_tags(html: Column) -> Column:
     """Pieces of a page with every tag a piece of its own, always at an odd index."""
     return F.split(
-        F.regexp_replace(html, r"(</?[a-zA-Z][^>]*>)", f"{BLOCK}$1{BLOCK}"), BLOCK
+        F.regexp_replace(html, rf"(</?[a-zA-Z]{ATTRS}>)", f"{BLOCK}$1{BLOCK}"), BLOCK
     )
 
 
@@ -259,7 +282,7 @@ def outside_ranges(pieces: Column, ranges: Column) -> Column:
 def first_of_class(html: Column, classes: list[str], exact: bool) -> tuple[Column, Column]:
     """Name of the first element with one of the classes, '' without one, and all that follows
     its open tag."""
-    opening = rf"(?is)<([a-z][a-z0-9]*)(?=\s)[^>]*{class_pattern(classes, exact)}[^>]*>(.*)"
+    opening = rf"(?is)<([a-z][a-z0-9]*)(?=\s){ONE_ATTR}*?{class_pattern(classes, exact)}{ATTRS}>(.*)"
     return F.regexp_extract(html, opening, 1), F.regexp_extract(html, opening, 2)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from newscorpus.operators.discovery import scope_container
 # Date formats tried in turn on the text of a date element.
 DATE_FORMATS = ["MMMM d, yyyy", "d MMMM yyyy", "d MMMM, yyyy", "yyyy/MM/dd", "dd/MM/yyyy"]
 
+# Digits of scripts whose months a caller may name: Gujarati, Devanagari.
+NATIVE_DIGITS = "".join(chr(zero + n) for zero in (0x0AE6, 0x0966) for n in range(10))
+
 
 def _readable(df: DataFrame, column: str) -> DataFrame:
     """Markup fragment to text."""
@@ -20,21 +25,27 @@ def _readable(df: DataFrame, column: str) -> DataFrame:
     return cleaning.decode_entities(df, column).withColumn(column, markup.tidy(F.col(column)))
 
 
+def _seen(html: str, raw: bool) -> Column:
+    """``raw`` pages lose comments, scripts and styles first; others have lost them."""
+    return markup.visible(F.col(html)) if raw else F.col(html)
+
+
 def article_title(
-    df: DataFrame, html: str = "html", default: str = values.DEFAULT_TITLE
+    df: DataFrame, html: str = "html", default: str = values.DEFAULT_TITLE, raw: bool = True
 ) -> DataFrame:
     """Text of the first ``h1``, even when blank; the default only when there is none."""
-    found = F.when(
-        markup.has_element(F.col(html), "h1"), markup.element_text(F.col(html), "h1")
-    )
+    seen = _seen(html, raw)
+    found = F.when(markup.has_element(seen, "h1"), markup.element_text(seen, "h1"))
     return _readable(df.withColumn("title", found), "title").withColumn(
         "title", F.coalesce("title", F.lit(default))
     )
 
 
-def _first_of_class(df: DataFrame, html: str, classes: list[str], out: str) -> DataFrame:
-    df = df.withColumn(out, F.col(html))
-    return scope_container(df, out, classes, exact=False, fallback=False)
+def _first_of_class(
+    df: DataFrame, html: str, classes: list[str], out: str, raw: bool
+) -> DataFrame:
+    df = df.withColumn(out, _seen(html, raw))
+    return scope_container(df, out, classes, exact=False, fallback=False, raw=False)
 
 
 def article_author(
@@ -42,28 +53,52 @@ def article_author(
     html: str = "html",
     default: str = values.DEFAULT_AUTHOR,
     limit: int = values.AUTHOR_LIMIT,
+    raw: bool = True,
 ) -> DataFrame:
     """Text of the first element with an author class, if it is short enough to be a name."""
-    df = _readable(_first_of_class(df, html, values.AUTHOR_CLASSES, "author"), "author")
+    df = _readable(_first_of_class(df, html, values.AUTHOR_CLASSES, "author", raw), "author")
     fits = F.length("author").between(1, limit - 1)
     return df.withColumn("author", F.when(fits, F.col("author")).otherwise(F.lit(default)))
 
 
 def article_date(
-    df: DataFrame, html: str = "html", default: str = values.DEFAULT_DATE
+    df: DataFrame,
+    html: str = "html",
+    default: str = values.DEFAULT_DATE,
+    months: dict[str, int] | None = None,
+    raw: bool = True,
 ) -> DataFrame:
-    """Text of the first ``time`` element, else of a date class, else the default; and typed."""
-    df = _first_of_class(df, html, values.DATE_CLASSES, "_dated")
-    found = F.when(
-        markup.has_element(F.col(html), "time"), markup.element_text(F.col(html), "time")
-    ).otherwise(F.col("_dated"))
-    df = _readable(df.withColumn("date_text", found).drop("_dated"), "date_text")
-    return df.withColumn("date_text", F.coalesce("date_text", F.lit(default))).withColumn(
-        "published_at", parse_date(F.col("date_text"))
+    """Text of the first ``time`` element, else of a date class, else the default; and typed.
+
+    The typed date is that of the element's ``datetime`` attribute, else of the text; ``months``
+    maps further month names to their numbers.
+    """
+    seen = _seen(html, raw)
+    df = _first_of_class(df, html, values.DATE_CLASSES, "_dated", raw)
+    timed = markup.has_element(seen, "time")
+    found = F.when(timed, markup.element_text(seen, "time")).otherwise(F.col("_dated"))
+    stamp = F.when(
+        timed,
+        markup.attribute(F.regexp_extract(seen, rf"(?is)<time(\s{markup.ATTRS})?>", 1), "datetime"),
+    )
+    df = df.withColumn("_stamp", stamp).withColumn("date_text", found).drop("_dated")
+    df = _readable(df, "date_text")
+    return (
+        df.withColumn("date_text", F.coalesce("date_text", F.lit(default)))
+        .withColumn(
+            "published_at",
+            F.coalesce(parse_date(F.trim("_stamp")), parse_date(F.col("date_text"), months)),
+        )
+        .drop("_stamp")
     )
 
 
-def parse_date(text: Column) -> Column:
+def parse_date(text: Column, months: dict[str, int] | None = None) -> Column:
+    """A date in one of DATE_FORMATS, with English month names, or further ones by number."""
+    for name, number in (months or {}).items():
+        text = F.replace(text, F.lit(name), F.lit(calendar.month_name[number]))
+    if months:
+        text = F.translate(text, NATIVE_DIGITS, "0123456789" * (len(NATIVE_DIGITS) // 10))
     tries = [F.try_to_timestamp(text)]
     tries += [F.try_to_timestamp(text, F.lit(fmt)) for fmt in DATE_FORMATS]
     return F.coalesce(*tries).cast("timestamp_ntz")
@@ -75,7 +110,7 @@ def layout_body(
     """Escaped body lines of the content container, headings as ``h2``; repeats are kept."""
     words = values.LAYOUT_BLOCKLIST if words is None else words
     df = df.withColumn("_scope", markup.drop_elements(F.col(html), ["script", "style"]))
-    df = scope_container(df, "_scope", values.CONTENT_CLASSES, exact=False)
+    df = scope_container(df, "_scope", values.CONTENT_CLASSES, exact=False, raw=False)
     df = cleaning.split_blocks(df, "_scope", values.LAYOUT_TAGS, loose_text=False).drop("_scope")
     df = cleaning.drop_blocklisted(cleaning.drop_empty_blocks(df), words)
     return cleaning.assemble_articles(
@@ -85,7 +120,11 @@ def layout_body(
 
 def render_articles(df: DataFrame, html: str = "html") -> DataFrame:
     """Add ``page``: a page with title, author and date above the body. The source goes."""
-    df = article_date(article_author(article_title(df, html), html), html)
+    # The footer stays for now: it is the layout's to drop.
+    df = df.withColumn(html, markup.visible(F.col(html)))
+    df = article_date(
+        article_author(article_title(df, html, raw=False), html, raw=False), html, raw=False
+    )
     df = layout_body(df, html)
 
     def row(label: str, value: str) -> Column:

@@ -12,13 +12,27 @@ from newscorpus.operators.keyed import first_per_key
 from newscorpus.operators.ordering import with_positions
 
 
+def visible_markup(df: DataFrame, html: str = "html") -> DataFrame:
+    """Comments, scripts and styles out, as a parser leaves them out of the tree."""
+    return df.withColumn(html, markup.visible(F.col(html)))
+
+
 def strip_chrome(
-    df: DataFrame, html: str = "html", classes: list[str] | None = None, exact: bool = True
+    df: DataFrame,
+    html: str = "html",
+    classes: list[str] | None = None,
+    exact: bool = True,
+    raw: bool = True,
 ) -> DataFrame:
-    """Remove every element of the given classes with all it encloses."""
+    """Remove every element of the given classes with all it encloses.
+
+    ``raw`` pages, here and below, lose comments, scripts and styles first; pass False for markup
+    that has been through ``visible_markup``.
+    """
     classes = values.CHROME_CLASSES if classes is None else classes
+    df = visible_markup(df, html) if raw else df
     # Pages without any such class are not split at all: their arrays stay null.
-    named = F.rlike(html, F.lit("(?i)<[a-z][^>]*" + markup.class_pattern(classes, exact)))
+    named = F.rlike(html, F.lit("(?i)" + markup.class_pattern(classes, exact)))
     found = df.withColumn(
         "_pieces", F.when(named, markup.split_at_tags(F.col(html)))
     ).withColumn("_ranges", markup.container_ranges(F.col("_pieces"), classes, exact))
@@ -36,9 +50,11 @@ def scope_container(
     classes: list[str] | None = None,
     exact: bool = True,
     fallback: bool = True,
+    raw: bool = True,
 ) -> DataFrame:
     """Narrow to the inside of the first element of a class; the whole page, or null, without one."""
     classes = values.LISTING_CLASSES if classes is None else classes
+    df = visible_markup(df, html) if raw else df
     name, rest = markup.first_of_class(F.col(html), classes, exact)
     found = df.withColumn("_name", name).withColumn(
         "_rest", F.when(F.col("_name") != "", rest)
@@ -49,16 +65,17 @@ def scope_container(
     ).drop("_name", "_rest")
 
 
-def extract_links(df: DataFrame, html: str = "html", outer: str = "h3") -> DataFrame:
+def extract_links(df: DataFrame, html: str = "html", outer: str = "h3", raw: bool = True) -> DataFrame:
     """First anchor of every ``outer`` element: section, page, place on the page, URL, title.
 
     Elements without an anchor, or whose anchor has no target, give no row.
     """
+    df = visible_markup(df, html) if raw else df
     pieces = F.slice(
         F.split(F.col(html), rf"(?i)<{outer}(?=[\s>])"), 2, 2147483647
     )
-    anchor = rf"(?is)<a(\s[^>]*)?>(.*?)(?:</a|\z)"
-    inner = F.regexp_extract("_piece", rf"(?is)^[^>]*>(.*?)(?:</{outer}|\z)", 1)
+    anchor = rf"(?is)<a(\s{markup.ATTRS})?>(.*?)(?:</a|\z)"
+    inner = F.regexp_extract("_piece", rf"(?is)^{markup.ATTRS}>(.*?)(?:</{outer}|\z)", 1)
     links = (
         df.select("section_key", "page_no", F.posexplode_outer(pieces).alias("pos", "_piece"))
         .where(F.col("pos").isNotNull())
@@ -114,7 +131,8 @@ def listing_stops(
 ) -> DataFrame:
     """First stopping page of each section and why: too many failures in a row, or no links.
 
-    A page is the one failure too many when it and the ``max_errors`` pages before it all
+    A page may have several rows, one per attempt: it is ok if any of them is, and a null is a
+    failure. A page is the one failure too many when it and the ``max_errors`` pages before it all
     failed. Every failure therefore votes for itself and the pages after it, and votes are
     counted per page: no window runs over a section's whole log.
     """
@@ -123,8 +141,12 @@ def listing_stops(
         F.sequence("page_no", F.col("page_no") + max_errors),
         lambda at: F.struct(at.alias("at"), F.lit(1).alias("failed"), F.lit(0).alias("empty")),
     )
+    tried = log.groupBy("section_key", "page_no").agg(
+        F.max(F.coalesce("ok", F.lit(False))).alias("ok"),
+        F.max(F.when(F.col("ok"), F.col("n_links"))).alias("n_links"),
+    )
     return (
-        log.where(~F.col("ok") | (F.col("n_links") == 0))
+        tried.where(~F.col("ok") | (F.col("n_links") == 0))
         .select("section_key", F.inline(F.when(F.col("ok"), F.array(own)).otherwise(votes)))
         .groupBy("section_key", "at")
         .agg(F.sum("failed").alias("failed"), F.max("empty").alias("empty"))

@@ -36,8 +36,9 @@ CLEAN_BLOCKLIST = [
 # Words that drop a block when laying an article out.
 LAYOUT_BLOCKLIST = ["- Advertisement -", "જાહેરાત", "जाहरात", "Photo:", "Source:"]
 
-# Block elements of the two passes, and which of them are headings.
-CLEAN_TAGS = ["p", "h1", "h2", "h3", "span", "div"]
+# Block elements of the two passes, and which of them are headings. A span is no
+# block: its text belongs to the block around it, or stands loose outside of any.
+CLEAN_TAGS = ["p", "h1", "h2", "h3", "div"]
 CLEAN_HEADINGS = ["h1", "h2", "h3"]
 LAYOUT_TAGS = ["p", "h2", "h3", "h4"]
 LAYOUT_HEADINGS = ["h2", "h3", "h4"]

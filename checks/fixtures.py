@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newscorpus import values
-from newscorpus.functions import keys
+from newscorpus.functions import keys, markup
 from newscorpus.operators import cleaning, compilation, discovery
 from newscorpus.operators.ordering import with_positions
+from newscorpus.plans import archive
 from newscorpus.session import shared_dir
 from newscorpus.sources.tables import read_pages, read_sections, spread_small
 
@@ -239,3 +240,24 @@ def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("ok") | (F.col("event_id") % 2 == 0), F.col("ok")).alias("ok"),
         "n_links",
     )
+
+
+def archived(spark: SparkSession, sf_dir: str, out_dir: str) -> archive.Archive:
+    """A run whose listings lead to two thirds of the pages; section keys come in both cases."""
+    cased = F.when(F.col("page_id") % 2 == 1, F.upper("section_key")).otherwise(F.col("section_key"))
+    some = pages(spark, sf_dir).where(F.col("page_id") % 3 != 0)
+    link = F.struct("page_id", F.concat(F.lit('<h3><a href="'), markup.escape(F.col("url")), F.lit('">x</a></h3>')).alias("h"))
+    listed = some.groupBy(
+        F.when(F.col("page_id") % 40 < 20, F.upper("section_key")).otherwise(F.col("section_key")).alias("section_key"),
+        F.floor(F.col("page_id") / 20).cast("bigint").alias("page_no"),
+    ).agg(F.array_join(F.transform(F.sort_array(F.collect_list(link)), lambda x: x["h"]), "").alias("html"))
+    return archive.run_archive(
+        spark,
+        listed,
+        corpus(spark, sf_dir).withColumn("section_key", cased),
+        fetches(spark, sf_dir),
+        sections(spark),
+        out_dir,
+        RUN_TS,
+        part_bytes=20000,
+    )

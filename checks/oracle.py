@@ -178,8 +178,7 @@ def named(source: str) -> str:
   FROM {source} k LEFT JOIN dim ON lower(k.section_key) = lower(dim.section_key))"""
 
 
-def manifest(source: str, size: bool) -> str:
-    mib = "n_bytes / 1048576.0::DOUBLE AS size_mib," if size else ""
+def manifest(source: str) -> str:
     return f""", {DIM}, totals AS (
   SELECT section_key, month, CAST(grouping(section_key, month) AS BIGINT) AS level,
          count(*) AS n_articles, CAST(sum(n_bytes) AS BIGINT) AS n_bytes,
@@ -187,7 +186,7 @@ def manifest(source: str, size: bool) -> str:
   FROM {source} GROUP BY ROLLUP (section_key, month)), {named("totals")}
 SELECT section_key, month, level,
        CASE WHEN level = 0 THEN section_name || '/{values.OUTPUT_PREFIX}_' || section_name || '_' || month
-       END AS file_name, n_articles, n_bytes, {mib} first_date, last_date
+       END AS file_name, n_articles, n_bytes, n_bytes / 1048576.0::DOUBLE AS size_mib, first_date, last_date
 FROM named"""
 
 
@@ -246,7 +245,7 @@ oracle(
     "write_corpus",
     f"WITH {CLEANED} SELECT section_key, article_key, url, n_blocks, n_bytes FROM c",
 )
-oracle("write_manifest", f"WITH {COMPILED}{manifest('compiled', size=False)} WHERE level < 3")
+oracle("write_manifest", f"WITH {COMPILED}{manifest('compiled')}")
 oracle(
     "read_progress",
     f"""WITH {P}, urls AS (
@@ -529,7 +528,7 @@ SELECT section_key, month, start_byte // 20000 AS part_no, count(*) AS n_article
        string_agg(body, chr(10) ORDER BY position) AS body
 FROM compiled GROUP BY section_key, month, part_no""",
 )
-oracle("archive_manifest", f"WITH {COMPILED}{manifest('compiled', size=True)}")
+oracle("archive_manifest", f"WITH {COMPILED}{manifest('compiled')}")
 oracle(
     "cover_rows",
     f"""WITH {COMPILED}, {DIM}, k0 AS (
@@ -558,7 +557,40 @@ oracle(
     "run_archive",
     f"""WITH {cleaned(values.CLEAN_BLOCKLIST)}, {DATES}, kept AS (
   SELECT c.*, published_at, strftime(coalesce(published_at, fetched_at), '%Y-%m') AS month
-  FROM c JOIN dates USING (page_id) WHERE n_bytes > 0){manifest("kept", size=False)}""",
+  FROM c JOIN dates USING (page_id) WHERE n_bytes > 0){manifest("kept")}""",
+)
+ARCHIVED = f"""{cleaned(values.CLEAN_BLOCKLIST)}, {DATES}, listed AS (
+  SELECT section_key, article_key, row_number() OVER (PARTITION BY section_key ORDER BY page_id) - 1 AS rank
+  FROM p WHERE page_id % 3 <> 0),
+ranked AS (
+  SELECT c.*, published_at, fetched_at, rank, strftime(coalesce(published_at, fetched_at), '%Y-%m') AS month
+  FROM c JOIN dates USING (page_id) LEFT JOIN listed USING (section_key, article_key) WHERE n_bytes > 0),
+{placed('ranked')}"""
+oracle(
+    "run_archive_positions",
+    f"""WITH {ARCHIVED} SELECT section_key, article_key, month, rank, position, start_byte,
+  {readable("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS title, '{values.DEFAULT_DATE}' AS date_text
+FROM compiled JOIN (SELECT page_id, html FROM p) USING (page_id)""",
+)
+oracle(
+    "run_archive_parts",
+    f"""WITH {ARCHIVED}
+SELECT section_key, month, start_byte // 20000 AS part_no, count(*) AS n_articles,
+       string_agg(body, chr(10) ORDER BY position) AS body
+FROM compiled GROUP BY section_key, month, part_no""",
+)
+oracle(
+    "run_archive_covers",
+    f"""WITH {ARCHIVED}, {DIM}, k0 AS (
+  SELECT section_key, month, count(*) AS n_articles FROM compiled GROUP BY ALL), {named("k0")}
+SELECT section_key, month, section_name, n_articles, concat_ws(chr(10), '{values.ARCHIVE_TITLE}',
+  'Category: ' || section_name, 'Month: ' || month, 'Total Articles: ' || n_articles,
+  'Archived on: {RUN_TS}') AS cover FROM named""",
+)
+oracle(
+    "run_archive_ledger",
+    f"""WITH {P} SELECT section_key, true AS completed, count(*) FILTER (page_id % 3 <> 0) AS n_links,
+  TIMESTAMP '{RUN_TS}' AS updated_at FROM p GROUP BY section_key""",
 )
 LEDGER = """latest AS (
   SELECT CAST(o_custkey AS VARCHAR) AS section_key, o_orderstatus = 'F' AS completed,

@@ -66,7 +66,7 @@ def write_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "section_key string, month string, level bigint, file_name string, n_articles bigint, "
         "n_bytes bigint, size_mib double, first_date timestamp_ntz, last_date timestamp_ntz"
     )
-    return spark.read.schema(schema).option("header", True).csv(path).where("level < 3").drop("size_mib")
+    return spark.read.schema(schema).option("header", True).csv(path)
 
 
 @query
@@ -493,7 +493,29 @@ def run_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         fx.RUN_TS,
         outer="li",
     )
-    return result.manifest.drop("size_mib")
+    return result.manifest
+
+
+@query
+def run_archive_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members in order, of a run whose links reach pages."""
+    compiled = fx.archived(spark, sf_dir, work_path(spark, "archive")).compiled
+    return compiled.select("section_key", "article_key", "month", "rank", "position", "start_byte", "title", "date_text")
+
+
+@query
+def run_archive_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.archived(spark, sf_dir, work_path(spark, "archive")).parts
+
+
+@query
+def run_archive_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.archived(spark, sf_dir, work_path(spark, "archive")).covers
+
+
+@query
+def run_archive_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.archived(spark, sf_dir, work_path(spark, "archive")).ledger
 
 
 # Ledger

@@ -104,6 +104,20 @@ def parse_date(text: Column, months: dict[str, int] | None = None) -> Column:
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 
+def article_records(
+    df: DataFrame,
+    html: str = "html",
+    words: list[str] | None = None,
+    mode: str = "contains",
+    months: dict[str, int] | None = None,
+) -> DataFrame:
+    """Cleaned articles with title, author, date_text and published_at, in one map-only pass."""
+    df = df.withColumn("_seen", markup.visible(F.col(html)))
+    df = article_author(article_title(df, "_seen", raw=False), "_seen", raw=False)
+    df = article_date(df, "_seen", months=months, raw=False).drop("_seen")
+    return cleaning.clean_corpus(df, html, words, mode)
+
+
 def layout_body(
     df: DataFrame, html: str = "html", words: list[str] | None = None
 ) -> DataFrame:

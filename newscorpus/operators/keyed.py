@@ -33,16 +33,20 @@ def broadcast_if_few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
-def one_copy(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
+def one_copy(
+    df: DataFrame, keys: list[str], row_id: str, ids: DataFrame | None = None
+) -> DataFrame:
     """One row per key for wide rows: the one with the least ``row_id``, which must be unique.
 
-    Only keys and ids are aggregated. The repeated keys, usually few, are counted and broadcast
+    Only keys and ids are aggregated: those of ``ids``, where ``df`` is costly to make and they can
+    be had from what it is made of. The repeated keys, usually few, are counted and broadcast
     when there are few, so that the wide rows do not move at all; when there are many, the rows
     are joined by shuffle.
     """
     shared_dir(df.sparkSession)
     repeated = (
-        df.groupBy(*keys)
+        (df if ids is None else ids)
+        .groupBy(*keys)
         .agg(F.min(row_id).alias("_keep"), F.count("*").alias("_n"))
         .where("_n > 1")
         .drop("_n")

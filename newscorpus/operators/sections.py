@@ -15,12 +15,14 @@ def normalize_section(
     """Add ``section_name`` and ``section_path``, with a derived pair for unknown keys.
 
     No broadcast is forced: the section table is a local relation of known size, which Spark
-    broadcasts by itself below its threshold and joins by shuffle above it.
+    broadcasts by itself below its threshold and joins by shuffle above it. Of sections equal but
+    for case the one that sorts first counts.
     """
-    lookup = sections.select(
-        F.lower("section_key").alias("_key"),
-        F.col("name_english").alias("_name"),
-        F.col("path").alias("_path"),
+    lookup = sections.groupBy(F.lower("section_key").alias("_key")).agg(
+        F.min(F.struct("section_key", "name_english", "path")).alias("_first")
+    )
+    lookup = lookup.select(
+        "_key", F.col("_first.name_english").alias("_name"), F.col("_first.path").alias("_path")
     )
     return (
         df.join(lookup, F.lower(key_col) == F.col("_key"), "left")

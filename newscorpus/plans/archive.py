@@ -9,51 +9,63 @@ from pyspark.sql import functions as F
 
 from newscorpus import values
 from newscorpus.functions import keys
+from newscorpus.operators import articles as records
 from newscorpus.operators import cleaning, compilation, discovery, ingest, ledger
 from newscorpus.operators.keyed import broadcast_if_few, first_per_key, one_copy
-from newscorpus.operators.sections import select_sections
-from newscorpus.sources.tables import write_corpus, write_manifest
+from newscorpus.session import shared_dir
+from newscorpus.sources.tables import write_manifest
+from newscorpus.sources.versions import next_run, read_latest, read_merged, write_run
 
 KEY = ["section_key", "article_key"]
 
 
 @dataclass
 class Archive:
-    """What a run leaves behind. ``articles`` and ``compiled`` are tables below ``out_dir``."""
+    """What a run leaves behind, each a table below ``out_dir``: of all runs ``articles`` (rejects
+    left out), ``compiled``, ``manifest``, ``covers``, ``parts`` and ``ledger``; of the sections of
+    this run ``links``, ``pending`` and ``rejects``."""
 
     links: DataFrame
     pending: DataFrame
     articles: DataFrame
     rejects: DataFrame
     compiled: DataFrame
+    parts: DataFrame
     manifest: DataFrame
     covers: DataFrame
     ledger: DataFrame
 
 
+def lowered(df: DataFrame) -> DataFrame:
+    return df.withColumn("section_key", F.lower("section_key"))
+
+
 def discover(
     listings: DataFrame, run_ts: str, max_pages: int | None = None, outer: str = "h3"
 ) -> DataFrame:
-    """Ranked links of listing pages (section_key, page_no, html)."""
+    """Ranked links of listing pages (section_key, page_no, html); sections in any case are one."""
     if max_pages is not None:
         listings = listings.where(F.col("page_no") <= max_pages)
-    scoped = discovery.scope_container(discovery.strip_chrome(listings))
-    links = discovery.dedup_links(discovery.extract_links(scoped, outer=outer))
+    seen = discovery.visible_markup(lowered(listings))
+    scoped = discovery.scope_container(discovery.strip_chrome(seen, raw=False), raw=False)
+    links = discovery.dedup_links(discovery.extract_links(scoped, outer=outer, raw=False))
     return discovery.stamp_run(discovery.discovery_rank(links), run_ts)
 
 
 def sections_to_do(
-    sections: DataFrame, names: list[str] | None, previous: DataFrame | None
-) -> DataFrame | None:
-    """Keys of the sections a run works on: the named ones, else those the ledger has not seen
-    completed, else no restriction at all (None)."""
+    sections: DataFrame,
+    names: list[str] | None,
+    previous: DataFrame | None,
+    seen: DataFrame | None = None,
+) -> DataFrame:
+    """Keys of the sections a run works on: the named ones, known or not; else those of the
+    dimension and those ``seen`` in the input that the ledger has not completed; else all of them."""
     if names is not None:
-        chosen = select_sections(sections, names)
-    elif previous is not None:
-        chosen = ledger.resume_sections(sections, previous)
-    else:
-        return None
-    return chosen.select(F.lower("section_key").alias("section_key")).distinct()
+        rows = [(n.lower(),) for n in names]
+        return sections.sparkSession.createDataFrame(rows, "section_key string").distinct()
+    every = lowered(sections).select("section_key")
+    every = (every if seen is None else every.unionAll(seen.select("section_key"))).distinct()
+    return every if previous is None else ledger.resume_sections(every, previous)
 
 
 def run_archive(
@@ -70,54 +82,86 @@ def run_archive(
     max_pages: int | None = None,
     outer: str = "h3",
     row_id: str = "page_id",
+    part_bytes: int = compilation.PART_BYTES,
+    months: dict[str, int] | None = None,
 ) -> Archive:
     """Discover, clean, compile, account.
 
     ``pages`` has section_key, article_key, url, html; ``fetches`` says when each article was
     published and fetched; ``previous`` is the ledger to resume from, and ``fetch_log`` tells
-    which listing pages a crawl got to use.
+    which listing pages a crawl got to use. Section keys count in any case.
 
-    The dates join the articles only after the HTML is gone, and bodies are left out of ranking:
-    what is sorted and joined stays narrow. Articles are written between the two halves, since
-    both the compilation and later runs read them. Sections of earlier runs stay as written.
+    Pages are added to what earlier runs stored, and replace articles of the same key. An article's
+    month follows its own date, else that of ``fetches``, else the time of fetching. Sections that
+    this run does not work on stay as they are; those it does work on are compiled anew, and a
+    compilation of which nothing is left goes.
+
+    HTML is never shuffled: which copy of a page counts is decided on keys, cleaning is map-only,
+    and only cleaned rows are joined and written. Bodies are left out of ranking.
     """
-    chosen = sections_to_do(sections, names, previous)
-    if chosen is not None:
-        chosen = broadcast_if_few(chosen)
+    shared_dir(spark)
+    listings, pages, fetches = lowered(listings), lowered(pages), lowered(fetches)
+    seen = pages.select("section_key").distinct().unionAll(listings.select("section_key").distinct())
+    chosen = sections_to_do(sections, names, previous, seen).checkpoint()
+    # Without a choice every section is worked on; joining would only cost.
+    few = broadcast_if_few(chosen) if names is not None or previous is not None else None
 
     def restricted(df: DataFrame) -> DataFrame:
-        return df if chosen is None else df.join(chosen, "section_key", "left_semi")
+        return df if few is None else df.join(few, "section_key", "left_semi")
 
     if fetch_log is not None:
-        used = discovery.listing_stop(fetch_log, max_pages=max_pages)
-        used = broadcast_if_few(used.select("section_key", "page_no").distinct())
-        listings = listings.join(used, ["section_key", "page_no"], "left_semi")
+        used = discovery.listing_stop(lowered(fetch_log), max_pages=max_pages)
+        used = used.select("section_key", "page_no").distinct().checkpoint()
+        listings = listings.join(broadcast_if_few(used), ["section_key", "page_no"], "left_semi")
     pages = restricted(pages)
-    links = discover(restricted(listings), run_ts, max_pages, outer)
-    pending = ingest.pending_articles(links, pages)
+    run = next_run(spark, f"{out_dir}/articles")
+
+    def versioned(df: DataFrame, name: str) -> DataFrame:
+        """Written as a version of this run, and read back with what other sections have."""
+        write_run(df, chosen, f"{out_dir}/{name}", run)
+        return read_latest(spark, f"{out_dir}/{name}", df.schema)
+
+    links = restricted(versioned(discover(restricted(listings), run_ts, max_pages, outer), "links"))
     ranked = links.withColumn("article_key", keys.article_key(F.col("url")))
 
-    cleaned = cleaning.clean_corpus(one_copy(pages, KEY, row_id))
-    write_corpus(cleaned, f"{out_dir}/articles")
-    stored = restricted(spark.read.parquet(f"{out_dir}/articles"))
-    articles, rejects = cleaning.cleaning_rejects(stored)
+    cleaned = one_copy(records.article_records(pages, months=months), KEY, row_id, ids=pages)
+    write_run(cleaned, chosen, f"{out_dir}/articles", run)
+    every = read_merged(spark, f"{out_dir}/articles", cleaned.schema, KEY)
+    stored, failed = cleaning.cleaning_rejects(every)
+    pending = versioned(ingest.pending_articles(links, every), "pending")
+    rejects = versioned(restricted(failed).drop("body"), "rejects")
 
+    # Times are kept as well: those of pages that earlier runs brought are still needed.
     times = first_per_key(fetches, KEY, ["fetched_at"])
-    dated = compilation.skip_unreadable(articles).drop("body").join(times, KEY, "left")
-    write_corpus(compilation.compile_monthly(dated, ranked), f"{out_dir}/compiled")
-    compiled = spark.read.parquet(f"{out_dir}/compiled")
+    write_run(restricted(times), chosen, f"{out_dir}/times", run)
+    times = read_merged(spark, f"{out_dir}/times", times.schema, KEY)
+    times = times.withColumnRenamed("published_at", "_published")
+    dated = (
+        compilation.skip_unreadable(restricted(stored))
+        .drop("body")
+        .join(times, KEY, "left")
+        .withColumn("published_at", F.coalesce("published_at", F.col("_published").cast("timestamp_ntz")))
+        .drop("_published")
+    )
+    compiled = versioned(compilation.compile_monthly(dated, ranked), "compiled")
+    anew = restricted(compiled)
+    parts = versioned(compilation.compile_body(anew, restricted(stored), part_bytes), "parts")
+    covers = versioned(compilation.cover_rows(anew, sections, run_ts, values.ARCHIVE_TITLE), "covers")
 
     manifest = compilation.archive_manifest(compiled, sections)
     write_manifest(manifest, f"{out_dir}/manifest")
+    state = next_ledger(links, chosen, previous, run_ts)
+    state.write.mode("overwrite").parquet(f"{out_dir}/ledger/run={run}")
     return Archive(
         links=links,
-        pending=pending,
-        articles=articles,
-        rejects=rejects,
+        pending=restricted(pending),
+        articles=stored,
+        rejects=restricted(rejects),
         compiled=compiled,
+        parts=parts,
         manifest=manifest,
-        covers=compilation.cover_rows(compiled, sections, run_ts, values.ARCHIVE_TITLE),
-        ledger=next_ledger(links, sections if chosen is None else chosen, previous, run_ts),
+        covers=covers,
+        ledger=spark.read.schema(state.schema).parquet(f"{out_dir}/ledger/run={run}"),
     )
 
 
@@ -126,7 +170,7 @@ def next_ledger(
 ) -> DataFrame:
     """Every section worked on is completed, also one that turned out to have no links."""
     found = links.groupBy("section_key").agg(F.count("*").alias("n"))
-    worked = sections.select(F.lower("section_key").alias("section_key"), F.lit(0).alias("n"))
+    worked = lowered(sections).select("section_key", F.lit(0).cast("bigint").alias("n"))
     counts = (
         found.unionByName(worked).groupBy("section_key").agg(F.sum("n").alias("n_links"))
     )

@@ -6,11 +6,12 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from newscorpus import values
 
 
-def read_if_exists(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_if_exists(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """Parquet table, or no rows when nothing has been written there yet."""
     try:
         return spark.read.schema(schema).parquet(path)

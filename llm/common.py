@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def release() -> None:
+    """Give freed memory of a Python worker back: workers are kept, and later stages need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, with batches for Python kept small enough for very long texts."""
     small_batches(spark)
@@ -106,6 +116,7 @@ def by_bucket(df: DataFrame, fn: Callable[[pa.Table], Iterator[pa.RecordBatch]],
 
     def run(group: pa.Table) -> pa.Table:
         batches = list(fn(group))
+        release()
         return pa.Table.from_batches(batches) if batches else empty
 
     from pyspark.sql.pandas.types import to_arrow_schema

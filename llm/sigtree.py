@@ -4,16 +4,17 @@
 2. Each set sends its lowest third (a prefix in a fixed global order) to the buckets of its tokens,
    to learn which tokens others have too. Two linked sets share at least ``least_common`` of them,
    so a set with fewer shared tokens is alone; most documents end here.
-3. The remaining sets keep a prefix of their shared tokens, very frequent ones last, so that any
-   two linked sets keep a token in common; sets connected by kept tokens form candidate groups.
+3. The remaining sets ask again among themselves, with all their tokens: three quarters have to be
+   shared. Those left keep a prefix of their shared tokens, rare ones first, so that any two linked
+   sets keep a token in common; sets connected by kept tokens form candidate groups.
 4. The texts of a group meet in a task (a large group as pairs of bounded tiles), where two
    signature trees are walked together: a node holds the OR of its sets' bitmaps and its range of
    sizes, and a pair of nodes is left when their largest possible overlap is too small, or when
    everything below is linked already. What remains is compared exactly.
 5. Links become components.
 
-Token lists move packed, sorted and already combined within a task, so a token of a third of all
-documents sends one entry per task.
+Token lists move packed and already combined within a task, so a token of a third of all documents
+sends a bounded number of entries per task.
 """
 
 from __future__ import annotations
@@ -27,18 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import by_bucket, components, pack, packed_schema, stored, table, text_bytes, unpack
+from llm.common import by_bucket, components, pack, packed_schema, release, stored, table, text_bytes, unpack
 from llm.shingles import shingle_sets
 from newscorpus.operators.keyed import broadcast_if_few, first_per_key
 
 #: Similarity as a fraction; 3/4 of the union.
 NUMERATOR, DENOMINATOR = 75, 100
 #: Tokens of a task combined at a time.
-COMBINE = 2_000_000
+COMBINE = 700_000
 #: Tokens of a bucket on average.
-BUCKET = 1_000_000
-#: At most so many tokens count as frequent, whatever the input's size (they are broadcast).
-FREQUENT = 250_000
+BUCKET = 500_000
+#: Sets from which on a token counts as frequent; tokens are ranked by their sets up to that.
+FREQUENT = 64
 #: Sets and shingles of a tile.
 TILE_SETS, TILE_SHINGLES = 1024, 1_000_000
 FANOUT = 8
@@ -69,9 +70,9 @@ def set_key(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
 
 
-# Entries of step 2. `count` says what an entry is: the occurrences of the token in its task (1: of
-# this set; more: of several sets, all of which know already that it is shared), KNOWN for a set's
-# token that is shared within its task, SIZE where `token` is the size of the set.
+# Entries: a token of a set, with the sets of its task that have it. Up to FREQUENT of them ask one by
+# one (count 1). Of a token of more, one entry tells their number, and the rest are KNOWN to be
+# shared, so no token sends more than FREQUENT entries per task. SIZE: `token` is the set's size.
 KNOWN, SIZE = 0, 0xFFFFFFFF
 _ENTRY = {"token": np.uint64, "key": np.int64, "count": np.uint32}
 
@@ -83,14 +84,18 @@ def _combined(tokens: list[np.ndarray], keys: list[int], buckets: int) -> Iterat
     token, key = token[order], key[order]
     first = np.flatnonzero(np.diff(token, prepend=~token[:1]) != 0)
     runs = np.diff(np.append(first, len(token)))
-    # One entry per distinct token, dealt by the token; those of repeated ones also by their set.
-    yield from pack(buckets, token[first], {"token": token[first], "key": key[first], "count": runs.astype(np.uint32)})
-    again = np.repeat(runs > 1, runs)
-    token, key = token[again], key[again]
-    yield from pack(buckets, key.view(np.uint64), {"token": token, "key": key, "count": np.zeros(len(token), np.uint32)})
+    many = np.repeat(runs > FREQUENT, runs)
+    told = first[runs > FREQUENT]
+    asks = np.concatenate([np.flatnonzero(~many), told])
+    count = np.append(np.ones(len(asks) - len(told), np.uint32), runs[runs > FREQUENT].astype(np.uint32))
+    yield from pack(buckets, token[asks], {"token": token[asks], "key": key[asks], "count": count})
+    token, key = token[many], key[many]
+    yield from pack(buckets, key.view(np.uint64), {"token": token, "key": key, "count": np.full(len(token), KNOWN, np.uint32)})
 
 
-def _entries(buckets: int):
+def _entries(buckets: int, whole: bool):
+    """Entries of a prefix of each set, or of the ``whole`` set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held, keys, sizes, total = [], [], [], 0
@@ -99,7 +104,7 @@ def _entries(buckets: int):
                 if not len(tokens) or (key := set_key(tokens)) in seen:
                     continue
                 seen.add(key)
-                held.append(tokens[: prefix(len(tokens))])
+                held.append(tokens if whole else tokens[: prefix(len(tokens))])
                 keys.append(key)
                 sizes.append(len(tokens))
                 total += len(held[-1])
@@ -108,6 +113,7 @@ def _entries(buckets: int):
                     held, keys, sizes, total = [], [], [], 0
         if held:
             yield from _flush(held, keys, sizes, buckets)
+        release()
 
     return run
 
@@ -119,53 +125,60 @@ def _flush(held, keys, sizes, buckets) -> Iterator[pa.RecordBatch]:
     yield from pack(buckets, key.view(np.uint64), size)
 
 
-def _shared(buckets: int, frequent: int):
-    """Which tokens of a bucket occur in several sets; their sets are told, by key."""
+def _shared(buckets: int):
+    """Which tokens of a bucket occur in several sets; each of these is told, with the token's rank:
+    the number of its sets, FREQUENT at most."""
 
     def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
         token, key, count = (unpack(group[n], kind) for n, kind in _ENTRY.items())
         asks = (count != KNOWN) & (count != SIZE)
-        passed = {"token": token[~asks], "key": key[~asks], "count": count[~asks]}
+        passed = {"token": token[~asks], "key": key[~asks], "count": np.where(count[~asks] == SIZE, SIZE, FREQUENT).astype(np.uint32)}
         token, key, count = token[asks], key[asks], count[asks]
-        order = np.lexsort((key, token))
+        order = np.lexsort((count, key, token))
         token, key, count = token[order], key[order], count[order]
-        # A set that several tasks met asks several times; two askers have to be different sets.
         first = np.flatnonzero(np.diff(token, prepend=~token[:1]) != 0)
         runs = np.diff(np.append(first, len(token)))
+        # A set that several tasks met asks several times, and counts once.
         new = (np.diff(key, prepend=~key[:1]) != 0) | (np.diff(token, prepend=~token[:1]) != 0)
         sets = np.add.reduceat(np.where(count > 1, count.astype(np.int64), new), first) if len(first) else runs
-        tell = np.repeat(sets > 1, runs) & (count == 1) & new
-        out = {n: np.concatenate([passed[n], x]) for n, x in (("token", token[tell]), ("key", key[tell]), ("count", count[tell] * 0))}
-        heavy = token[first][sets >= frequent]
-        for batch in pack(buckets, out["key"].view(np.uint64), out):
-            yield batch.append_column("heavy", pa.nulls(len(batch), pa.binary()))
-        if len(heavy):
-            yield pa.RecordBatch.from_pydict(
-                {"bucket": pa.array([0], pa.int32())} | {n: pa.array([None], pa.binary()) for n in _ENTRY} | {"heavy": [heavy.tobytes()]}
-            )
+        rank = np.repeat(np.minimum(sets, FREQUENT), runs).astype(np.uint32)
+        tell = (rank > 1) & (count == 1) & new
+        out = {n: np.concatenate([passed[n], x]) for n, x in (("token", token[tell]), ("key", key[tell]), ("count", rank[tell]))}
+        yield from pack(buckets, out["key"].view(np.uint64), out)
 
     return run
 
 
-def _kept(buckets: int, heavy: np.ndarray):
-    """Sets with enough shared tokens, and of those a prefix by (frequent, token)."""
+def _by_key(group: pa.Table):
+    """(key, n) of a bucket's sets; (key, rank, token) of their distinct shared tokens, in that order."""
+    token, key, count = (unpack(group[n], kind) for n, kind in _ENTRY.items())
+    sized = count == SIZE
+    of, at = np.unique(key[sized], return_index=True)
+    n = token[sized][at].astype(np.int64)
+    token, key, rank = token[~sized], key[~sized], count[~sized]
+    order = np.lexsort((token, rank, key))
+    token, key, rank = token[order], key[order], rank[order]
+    # A token of one set always has one rank.
+    new = (np.diff(key, prepend=~key[:1]) != 0) | (np.diff(token, prepend=~token[:1]) != 0)
+    return of, n, key[new], token[new]
+
+
+def _survivors(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Sets that share enough tokens of their prefix."""
+    of, n, key, _ = _by_key(group)
+    shared = np.searchsorted(key, of, side="right") - np.searchsorted(key, of)
+    yield pa.RecordBatch.from_pydict({"key": pa.array(of[shared >= least_common(n)], pa.int64())})
+
+
+def _kept(buckets: int):
+    """Of the sets with enough shared tokens, a prefix of these by (rank, token)."""
 
     def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        token, key, count = (unpack(group[n], kind) for n, kind in _ENTRY.items())
-        sized = count == SIZE
-        of, at = np.unique(key[sized], return_index=True)
-        n = token[sized][at].astype(np.int64)
-        token, key = token[~sized], key[~sized]
-        rank = np.isin(token, heavy)
-        order = np.lexsort((token, rank, key))
-        token, key, rank = token[order], key[order], rank[order]
-        new = (np.diff(key, prepend=~key[:1]) != 0) | (np.diff(token, prepend=~token[:1]) != 0)
-        token, key = token[new], key[new]
-        first = np.searchsorted(key, of)
-        shared = np.searchsorted(key, of, side="right") - first
-        keep = np.maximum(0, shared - least_common(n) + 1)
-        nth = np.arange(len(key)) - np.repeat(first, shared)
-        chosen = nth < np.repeat(keep, shared)
+        of, n, key, token = _by_key(group)
+        shared = np.searchsorted(key, of, side="right") - np.searchsorted(key, of)
+        keep = np.maximum(0, shared - needed(n) + 1)
+        nth = np.arange(len(key)) - np.searchsorted(key, key)
+        chosen = nth < keep[np.searchsorted(of, key)] if len(key) else np.zeros(0, bool)
         token, key = token[chosen], key[chosen]
         order = np.lexsort((key, token))
         token, key = token[order], key[order]
@@ -173,9 +186,8 @@ def _kept(buckets: int, heavy: np.ndarray):
         least = key[first]
         star = np.repeat(least, np.diff(np.append(first, len(token))))
         pairs = np.unique(np.stack([key, star], 1)[key != star], axis=0)
-        none = {n: pa.nulls for n in ("a", "b")}
         for batch in pack(buckets, token[first], {"token": token[first], "key": least}):
-            for name in none:
+            for name in ("a", "b"):
                 batch = batch.append_column(name, pa.nulls(len(batch), pa.binary()))
             yield batch
         if len(pairs):
@@ -316,6 +328,7 @@ def _links(group: pa.Table) -> pa.Table:
         some = keys != keys[label] if len(keys) else np.zeros(0, bool)
         a.append(keys[some])
         b.append(keys[label][some] if len(keys) else keys)
+    release()
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
 
@@ -334,17 +347,18 @@ def named_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("tid"), "text").mapInArrow(run, f"doc_id {kind}, tid long, n long, key long")
 
 
-def candidates(docs: DataFrame, tokens: int) -> DataFrame:
-    """(a, b) edges whose components hold every linked pair of sets. ``tokens``: in all prefixes."""
+def told(texts: DataFrame, tokens: int, whole: bool) -> tuple[DataFrame, int]:
+    """Packed by key: the sizes of the texts' sets, and which of their tokens other sets have."""
     buckets = max(1, math.ceil(tokens / BUCKET))
     schema = packed_schema([*_ENTRY])
-    entries = docs.where("text is not null").select("text").mapInArrow(_entries(buckets), schema)
-    told = stored(by_bucket(entries, _shared(buckets, max(64, math.ceil(tokens / FREQUENT))), schema + ", heavy binary"), "shared")
-    lists = told.where("heavy is not null").select("heavy").collect()  # FREQUENT numbers at most
-    heavy = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[0], np.uint64) for r in lists)]))
-    kept = stored(
-        by_bucket(told.where("heavy is null").drop("heavy"), _kept(buckets, heavy), packed_schema(["token", "key", "a", "b"])), "kept"
-    )
+    entries = texts.select("text").mapInArrow(_entries(buckets, whole), schema)
+    return by_bucket(entries, _shared(buckets), schema), buckets
+
+
+def candidates(texts: DataFrame, tokens: int) -> DataFrame:
+    """(a, b) edges whose components hold every linked pair of the texts' sets."""
+    shared, buckets = told(texts, tokens, whole=True)
+    kept = stored(by_bucket(shared, _kept(buckets), packed_schema(["token", "key", "a", "b"])), "kept")
     near = kept.where("a is not null").select("a", "b").mapInArrow(_edges, "a long, b long")
     return near.unionAll(by_bucket(kept.where("a is null").select("bucket", "token", "key"), _met, "a long, b long"))
 
@@ -359,15 +373,24 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     told apart by 64-bit hashes. An empty table gives none.
     """
     sets = stored(named_sets(docs), "sets")
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_tid"), "text")
     by_key = sets.where("key is not null").groupBy("key").agg(
         F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min(F.struct("doc_id", "tid")).alias("one")
-    )
-    third = F.sum(F.expr("n - ceil(n * 75 / 100) + greatest(1, n div 12)"))
-    tokens = int(sets.where("key is not null").agg(third).first()[0] or 0)
-    groups = stored(components(candidates(docs, tokens)), "groups").join(
-        by_key.select(F.col("key").alias("node"), "n", "one.*"), "node"
-    ).select(F.col("node").alias("key"), "component", "n", F.col("doc_id").alias("_doc"), "tid")
-    groups = stored(groups, "members")
+    )
+    named = stored(by_key.select(F.col("key").alias("node"), "least", "n", F.col("one.doc_id").alias("_doc"), "one.tid"), "keys")
+    lowest = named.agg(F.sum(F.expr("n - ceil(n * 75 / 100) + greatest(1, n div 12)"))).first()[0] or 0
+
+    def of(chosen: DataFrame) -> DataFrame:
+        """One text for each row of (_doc, tid, ...)."""
+        return texts.join(broadcast_if_few(chosen), (F.col("_tid") == F.col("tid")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+
+    shared, _ = told(texts, int(lowest), whole=False)
+    left = by_bucket(shared, _survivors, "key long").withColumnRenamed("key", "node")
+    left = stored(named.join(left, "node").select("n", "_doc", "tid"), "survivors")
+    total = left.agg(F.sum("n")).first()[0] or 0
+    groups = components(candidates(of(left), int(total))).join(named, "node")
+    groups = stored(groups.select(F.col("node").alias("key"), "component", "n", "_doc", "tid"), "members")
+
     sizes = groups.groupBy("component").agg(
         F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("bigint").alias("tiles")
     )
@@ -375,23 +398,31 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     bins = max(1, math.ceil((total[0] or 0) / TILE_SETS), math.ceil((total[1] or 0) / TILE_SHINGLES))
     # Small groups share bins; a large one has a task for each pair of its tiles.
     dealt = groups.join(sizes, "component").select(
-        "*", F.pmod(F.xxhash64("key"), "tiles").alias("own"), F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component")).alias("bin")
-    )
-    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_tid"), "text")
-    small = broadcast_if_few(dealt)
+        "key",
+        "component",
+        "_doc",
+        "tid",
+        "tiles",
+        (F.col("tiles") > 1).alias("large"),
+        F.pmod(F.xxhash64("key"), "tiles").alias("own"),
+        F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component")).alias("bin"),
+    )
     met = (
-        texts.join(small, (F.col("_tid") == F.col("tid")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-        .select("component", "key", "own", "tiles", "bin", "text", F.explode(F.expr("sequence(0L, tiles - 1)")).alias("other"))
-        .select("component", "key", "own", "text", "bin", F.col("tiles") > 1, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        of(dealt)
+        .select("component", "key", "own", "text", "bin", "large", F.explode(F.expr("sequence(0L, tiles - 1)")).alias("other"))
+        .select("component", "key", "own", "text", "bin", "large", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     )
-    links = stored(met.toDF("component", "key", "own", "text", "bin", "large", "lo", "hi").groupBy("bin", "large", "lo", "hi").applyInArrow(_links, "a long, b long"), "links")
-    joined = components(links).join(by_key.select(F.col("key").alias("node"), "least"), "node")
+    links = stored(met.groupBy("bin", "large", "lo", "hi").applyInArrow(_links, "a long, b long"), "links")
+
+    joined = components(links).join(named.select("node", "least"), "node")
     roots = joined.groupBy("component").agg(F.min("least").alias("root"))
-    named = by_key.select("key", "least").join(
-        joined.select(F.col("node").alias("key"), "component").join(roots, "component").select("key", "root"), "key", "left"
-    ).select("key", F.coalesce("root", "least").alias("root"))
+    rooted = joined.join(roots, "component").select("node", "root")
+    named = named.join(rooted, "node", "left").select(F.col("node").alias("key"), F.coalesce("root", "least").alias("root"))
     return sets.join(named, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("root")).alias("component_id"), "tid"
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("root")).alias("component_id"),
+        "tid",
     )
 
 
@@ -403,15 +434,18 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """
     own = F.coalesce("doc_id", F.xxhash64("text", F.lit("id")).bitwiseOR(F.lit(-(1 << 63))))
     found = similar_documents(docs.select(own.alias("doc_id"), "text"))
-    stays = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_own"), F.col("tid").alias("_tid")).agg(F.count("*").alias("_n"))
-    stays = stored(stays, "stays")
-    rows = docs.join(stays, (own == F.col("_own")) & (F.xxhash64("text") == F.col("_tid")))
-    again = rows.where("_n > 1")
-    return (
-        rows.where("_n = 1").select(*docs.columns)
-        .unionAll(first_per_key(again, ["_own", "_tid"], []).select(*docs.columns))
-    )
+    marked = found.groupBy(F.col("doc_id").alias("_own"), F.col("tid").alias("_tid")).agg(
+        F.min(F.col("doc_id") == F.col("component_id")).alias("_stays"), F.count("*").alias("_n")
+    )
+    marked = stored(marked.where("not _stays or _n > 1"), "marked")
+    same = (own == F.col("_own")) & (F.xxhash64("text") == F.col("_tid"))
+    kept = docs.join(broadcast_if_few(marked), same, "left_anti")
+    again = marked.where("_stays")
+    if again.isEmpty():
+        return kept
+    repeats = docs.join(broadcast_if_few(again), same)
+    return kept.unionAll(first_per_key(repeats, ["_own", "_tid"], []).select(*docs.columns))
 
 
 def op7_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("tid")

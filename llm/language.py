@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import mix, powers, table
+from llm.common import mix, powers, release, table
+from newscorpus.operators.keyed import broadcast_if_few
 
 WORD = re.compile(r"[^\W\d_]+")
 HASH_BITS = 18
 #: Bounds of the training sample: documents and characters of each language.
 TRAIN_DOCS = 400
+MOST_DOCS = 20_000
 TRAIN_CHARS = 400_000
 #: Words of one chain; a longer text is several chains, each entered by the start weights.
 CHAIN = 64
@@ -212,19 +214,20 @@ def word_marginals(texts: list[list[str]], model: Model, cache: dict[str, int],
 
 def sample(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS, chars_per_lang: int = TRAIN_CHARS) -> tuple[list[str], list[str]]:
     """A bounded sample of labelled texts for the fit: about ``docs_per_lang`` documents of each
-    language, chosen by a digest of their text, and of each a window of words at a place the digest
-    sets, so that no language brings more than about ``chars_per_lang`` characters."""
+    language, MOST_DOCS at all, chosen by a digest of their text, and of each a window of words at a
+    place the digest sets, so that no language brings more than about ``chars_per_lang`` characters.
+    """
     langs = docs.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "_lang")
     width = max(1, chars_per_lang // docs_per_lang)
     draw = F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(1 << 30))
     spare = F.greatest(F.char_length("text") - width, F.lit(0))
     rows = (
-        docs.join(langs, docs["lang"] == langs["_lang"])
+        docs.join(broadcast_if_few(langs), docs["lang"] == langs["_lang"])
         .where(draw < F.lit(float(1 << 30)) * docs_per_lang / F.col("n"))
-        .select("lang", F.expr("pmod(xxhash64(text, 'place'), 1000003)").alias("_at"), spare.alias("_spare"), "text")
-        .select("lang", F.substr("text", (F.floor(F.col("_at") / 1000003 * F.col("_spare")) + 1).cast("int"), F.lit(width)).alias("text"))
-        .orderBy("lang", "text")
-        .limit(4 * docs_per_lang * 64)
+        .select("lang", draw.alias("draw"), F.expr("pmod(xxhash64(text, 'place'), 1000003)").alias("_at"), spare.alias("_spare"), "text")
+        .select("lang", "draw", F.substr("text", (F.floor(F.col("_at") / 1000003 * F.col("_spare")) + 1).cast("int"), F.lit(width)).alias("text"))
+        .orderBy("draw", "lang", "text")
+        .limit(MOST_DOCS)
         .collect()
     )
     return [r["text"] for r in rows], [r["lang"] for r in rows]
@@ -260,6 +263,7 @@ def predict(docs: DataFrame, model: Model, keep_marginals: bool = False) -> Data
                 score[some] = np.clip(share[some].max(axis=1) / total[some], 0, 1)
             names = pa.array([model.labels[b] if b >= 0 else "und" for b in best], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, names, pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+        release()
 
     return kept.mapInArrow(run, schema)
 

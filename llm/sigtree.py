@@ -429,10 +429,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay when each component keeps the document of its smallest doc_id.
 
-    Documents without words all stay. Rows without a doc_id count as documents of ids of their own,
-    by their text. Of rows equal in doc_id and text one stays.
+    Documents without words all stay. Rows without a doc_id count as documents of large ids of their
+    own, by their text. Of rows equal in doc_id and text one stays.
     """
-    own = F.coalesce("doc_id", F.xxhash64("text", F.lit("id")).bitwiseOR(F.lit(-(1 << 63))))
+    own = F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("text", F.lit("id")), 2).bitwiseOR(F.lit(1 << 62)))
     found = similar_documents(docs.select(own.alias("doc_id"), "text"))
     marked = found.groupBy(F.col("doc_id").alias("_own"), F.col("tid").alias("_tid")).agg(
         F.min(F.col("doc_id") == F.col("component_id")).alias("_stays"), F.count("*").alias("_n")

@@ -614,7 +614,7 @@ FROM p JOIN dates USING (page_id) GROUP BY ALL""",
 )
 oracle(
     "stream_ledger",
-    f"""WITH {P} SELECT section_key, true AS completed, count(*) AS n_links,
+    f"""WITH {P} SELECT section_key, section_key IN ('en', 'de') AS completed, count(*) AS n_links,
   TIMESTAMP '{RUN_TS}' AS updated_at FROM p GROUP BY section_key""",
 )
 oracle(

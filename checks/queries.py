@@ -578,7 +578,7 @@ def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_path(spark, "stream-ledger")
     pages = jobs.page_stream(spark, sf_dir, PAGE_SCHEMA, glob="pages.parquet")
     query = jobs.stream_ledger(
-        fx.with_keys(pages), f"{out}/ledger", f"{out}/checkpoint", fx.RUN_TS
+        fx.with_keys(pages), f"{out}/ledger", f"{out}/checkpoint", fx.RUN_TS, completed=["en", "de"]
     )
     query.awaitTermination()
     return jobs.latest_ledger(spark, f"{out}/ledger")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from newscorpus import values
 from newscorpus.functions import keys
-from newscorpus.operators.keyed import first_per_key
+from newscorpus.operators.cleaning import parse_provenance
+from newscorpus.operators.keyed import broadcast_if_few, first_per_key
 
 KEY = ["section_key", "article_key"]
 
@@ -95,3 +96,33 @@ def attach_url(files: DataFrame, links: DataFrame, default: str = values.BASE_UR
     """URL of each stored article by key, or the default when no link is known."""
     known = first_per_key(_keyed(links).select(*KEY, "url"), KEY, ["url"])
     return files.join(known, KEY, "left").withColumn("url", F.coalesce("url", F.lit(default)))
+
+
+def identify_pages(files: DataFrame, links: DataFrame, html: str = "html") -> DataFrame:
+    """Stored files (section_key, short_key, html) as pages: with url, article_key, n_urls.
+
+    The URL is the one the file's own footer names, if its digest agrees with the file's name, else
+    the only one of the section's links that does. Where several links share the short key and no
+    footer tells, ``n_urls`` counts them, and url and article_key are null; so they are for a file
+    that nothing names (``n_urls`` 0).
+    """
+    width = F.length("short_key")
+    widths = [r[0] for r in files.select(width).distinct().limit(33).collect() if r[0]]
+    named = links.where(F.coalesce("url", F.lit("")) != "").select(
+        F.lower("section_key").alias("_section"), F.col("url").alias("_url"), keys.article_key(F.col("url")).alias("_digest")
+    )
+    named = named.distinct().select(
+        "_section", "_url", F.explode(F.transform(F.array(*[F.lit(w) for w in widths] or [F.lit(8)]), lambda w: F.substr("_digest", F.lit(1), w))).alias("_short")
+    )
+    known = named.groupBy("_section", "_short").agg(F.min("_url").alias("_url"), F.count("*").alias("_n"))
+    own = F.col("source.url")
+    agrees = F.startswith(keys.article_key(own), F.col("short_key"))
+    found = parse_provenance(files, html).withColumn("_own", F.when(agrees, own)).drop("source")
+    same = (F.lower("section_key") == F.col("_section")) & (F.col("short_key") == F.col("_short"))
+    url = F.coalesce("_own", F.when(F.col("_n") == 1, F.col("_url")))
+    return found.join(broadcast_if_few(known), same, "left").select(
+        *files.columns,
+        url.alias("url"),
+        keys.article_key(url).alias("article_key"),
+        F.when(F.col("_own").isNotNull(), 1).otherwise(F.coalesce("_n", F.lit(0))).cast("bigint").alias("n_urls"),
+    )

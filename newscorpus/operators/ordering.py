@@ -36,37 +36,40 @@ def with_positions(
         .withColumn("_part", F.shiftright("_seq", 33))
         .checkpoint()
     )
-    spans = placed.groupBy(*groups, "_part").agg(
+    # One key for the totals, the window and the join, never null though groups may be: what is
+    # shuffled for the window meets the totals without moving again.
+    at = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)], F.col("_part").alias("part"))
+    keyed = placed.withColumn("_at", at)
+    spans = keyed.groupBy("_at").agg(
         F.min("_seq").alias("_start"),
         F.count("*").alias("_rows"),
         *[F.sum(F.coalesce(c, F.lit(0))).cast("bigint").alias(f"_sum_{c}") for c in running],
     )
-    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (
+        Window.partitionBy(*[F.col(f"_at.g{i}") for i in range(len(groups))])
+        .orderBy("_at.part")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     before = spans.select(
-        *[F.col(g).alias(f"_g_{g}") for g in groups],
-        F.col("_part").alias("_g_part"),
+        F.col("_at").alias("_of"),
         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_start")).alias("_shift"),
         *[
             F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}")
             for c in running
         ],
     )
-    same = F.col("_part") == F.col("_g_part")
-    for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    inside = (
-        Window.partitionBy(*groups, "_part").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_at").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    summed = keyed.withColumns(
+        {
+            f"_inside_{c}": F.coalesce(F.sum(F.coalesce(c, F.lit(0))).over(inside), F.lit(0))
+            for c in running
+        }
     )
-    return placed.join(before, same).select(
+    return summed.join(before, F.col("_at") == F.col("_of")).select(
         *df.columns,
         (F.col("_seq") + F.col("_shift") + F.lit(first)).cast("bigint").alias(position),
         *[
-            (
-                F.coalesce(F.sum(F.coalesce(c, F.lit(0))).over(inside), F.lit(0))
-                + F.col(f"_before_{c}")
-            )
-            .cast("bigint")
-            .alias(name)
+            (F.col(f"_inside_{c}") + F.col(f"_before_{c}")).cast("bigint").alias(name)
             for c, name in running.items()
         ],
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,7 +20,8 @@ from newscorpus.session import shared_dir
 from newscorpus.sources.tables import read_if_exists
 
 KEY = ["section_key", "article_key"]
-KEY_SCHEMA = "section_key string, article_key string, batch_id bigint"
+INDEX_SCHEMA = "section_key string, article_key string, batch_id bigint, bucket string"
+BUCKET_DIGITS = 2
 COUNT_SCHEMA = "section_key string, month string, n_articles bigint, batch_id bigint"
 
 Prepare = Callable[[DataFrame], DataFrame]
@@ -44,27 +45,77 @@ def _run(writer, checkpoint: str) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _bucket(key: str = "article_key") -> Column:
+    """Part of the key index that holds an article: the first digits of its digest."""
+    return F.substring(key, 1, BUCKET_DIGITS)
+
+
+def index_path(out_dir: str) -> str:
+    return f"{out_dir.rstrip('/')}-keys"
+
+
+def stored_keys(spark: SparkSession, out_dir: str, before: int, buckets: list[str]) -> DataFrame:
+    """Keys of the articles that batches below ``before`` stored, of some buckets only.
+
+    The index below ``out_dir``-keys has what each batch added, by bucket, and now and then all of
+    it in one place. Only the last of these, and what came later, is read.
+    """
+    index = index_path(out_dir)
+    whole = read_if_exists(spark, f"{index}/whole", INDEX_SCHEMA).where(F.col("batch_id") < before)
+    last = whole.agg(F.max("batch_id")).first()[0]
+    last = -1 if last is None else last
+    added = read_if_exists(spark, f"{index}/added", INDEX_SCHEMA).where(
+        (F.col("batch_id") < before) & (F.col("batch_id") > last)
+    )
+    rows = whole.where(F.col("batch_id") == last).unionByName(added)
+    return rows.where(F.col("bucket").isin(buckets)).select(*KEY)
+
+
+def _write_index(keys: DataFrame, path: str) -> None:
+    (
+        keys.select(*KEY, _bucket().alias("bucket"))
+        .hint("rebalance", F.col("bucket"))
+        .write.partitionBy("bucket")
+        .option("partitionOverwriteMode", "static")
+        .mode("overwrite")
+        .parquet(path)
+    )
+
+
 def stream_clean(
-    pages: DataFrame, out_dir: str, checkpoint: str, prepare: Prepare, row_id: str = "page_id"
+    pages: DataFrame,
+    out_dir: str,
+    checkpoint: str,
+    prepare: Prepare,
+    row_id: str = "page_id",
+    compact_every: int = 50,
 ) -> StreamingQuery:
     """Clean pages whose article is not stored yet, and append them.
 
     ``prepare`` adds section_key and article_key. Articles of earlier batches are left out by an
-    anti-join on the stored keys, which is exact over all time and needs no stream state. Only
-    key columns are read and shuffled for it: the pages themselves meet just the keys of this
-    batch that are stored already, which are few in the usual case.
+    anti-join on the stored keys, which is exact over all time and needs no stream state. The keys
+    lie in an index of buckets; a batch reads only the buckets it touches, and every
+    ``compact_every`` batches the index is gathered, so what a batch costs follows its own size.
+    Pages are cleaned before anything is joined: HTML is never shuffled.
     """
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = read_if_exists(spark, out_dir, KEY_SCHEMA).where(F.col("batch_id") < batch_id)
-        keyed = prepare(batch)
-        seen = keyed.select(*KEY).distinct().join(stored.select(*KEY), KEY, "left_semi")
         shared_dir(spark)
-        fresh = one_copy(keyed, KEY, row_id).join(
-            broadcast_if_few(seen.checkpoint()), KEY, "left_anti"
+        keyed = prepare(batch)
+        wanted = keyed.select(*KEY, row_id).checkpoint()
+        if batch_id and batch_id % compact_every == 0:
+            every = [f"{n:0{BUCKET_DIGITS}x}" for n in range(16**BUCKET_DIGITS)]
+            _write_index(stored_keys(spark, out_dir, batch_id, every), f"{index_path(out_dir)}/whole/batch_id={batch_id - 1}")
+        buckets = [r[0] for r in wanted.select(_bucket()).distinct().collect()]  # 16**BUCKET_DIGITS at most
+        stored = stored_keys(spark, out_dir, batch_id, buckets)
+        seen = wanted.select(*KEY).distinct().join(stored, KEY, "left_semi").checkpoint()
+        fresh = one_copy(clean_corpus(keyed), KEY, row_id, ids=wanted).join(
+            broadcast_if_few(seen), KEY, "left_anti"
         )
-        clean_corpus(fresh).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        target = f"{out_dir}/batch_id={batch_id}"
+        fresh.hint("rebalance").write.mode("overwrite").parquet(target)
+        _write_index(spark.read.schema(fresh.schema).parquet(target), f"{index_path(out_dir)}/added/batch_id={batch_id}")
 
     return _run(pages.writeStream.foreachBatch(ingest), checkpoint)
 
@@ -99,9 +150,19 @@ def latest_counts(spark: SparkSession, out_dir: str) -> DataFrame:
 
 
 def stream_ledger(
-    articles: DataFrame, out_dir: str, checkpoint: str, run_ts: str
+    articles: DataFrame,
+    out_dir: str,
+    checkpoint: str,
+    run_ts: str,
+    completed: bool | list[str] = False,
 ) -> StreamingQuery:
-    """Ledger kept current: each batch writes the next version from the one before it."""
+    """Ledger kept current: each batch writes the next version from the one before it.
+
+    ``articles`` are articles as they are stored (what ``stream_clean`` wrote), so that none counts
+    twice. A stream does not know when a section ends: sections stay open, to be resumed, unless
+    ``completed`` names them or is True.
+    """
+    done = F.lit(completed) if isinstance(completed, bool) else F.col("section_key").isin(completed)
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         before = ledger_version(batch.sparkSession, out_dir, batch_id - 1)
@@ -111,7 +172,8 @@ def stream_ledger(
             "section_key", (F.col("n") + F.coalesce("_so_far", F.lit(0))).alias("n_links")
         )
         # The greater count wins among rows of one run, so the order of equal times is settled.
-        update_ledger(before, completed_rows(grown, run_ts), tie_break="n_links").write.mode(
+        rows = completed_rows(grown, run_ts).withColumn("completed", done)
+        update_ledger(before, rows, tie_break="n_links").write.mode(
             "overwrite"
         ).parquet(f"{out_dir}/batch_id={batch_id}")
 

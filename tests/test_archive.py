@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from conftest import rows
 from pyspark.sql import functions as F
 
+from newscorpus.operators import ingest
 from newscorpus.plans.archive import run_archive
 from newscorpus.sources import tables
 
@@ -96,3 +99,25 @@ def test_what_a_dead_run_wrote_is_not_seen(spark, tmp_path):
     spark.read.parquet(str(tmp_path / "compiled" / "rows")).drop("run", "section_key").write.parquet(str(dead))
     result = archive(spark, tmp_path, [("world", "/2", "<p>two</p>")], run=2)
     assert result.articles.count() == 2 and len(members(result)) == 2
+
+
+def test_from_files_to_compilation(spark, tmp_path):
+    def digest(url):
+        return hashlib.md5(url.encode()).hexdigest()
+
+    footer = '<p class="metadata_footer">Source: {"url": "/own", "category": "world", "scraped_date": "2024-01-01T00:00:00"}</p>'
+    files = {("World", digest("/listed")[:8]): "<html><p>listed</p></html>", ("World", digest("/own")[:8]): f"<p>own</p>{footer}",
+             ("World", "ffffffff"): "<p>nobody knows</p>", ("crime", digest("/c")[:1]): "<p>c</p>"}
+    for (section, short), html in files.items():
+        (tmp_path / "store" / section).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "store" / section / f"{short}.html").write_text(html)
+    same = next(f"/x{i}" for i in range(200) if digest(f"/x{i}")[0] == digest("/c")[0])
+    links = spark.createDataFrame([("world", "/listed"), ("world", "/other"), ("CRIME", "/c"), ("crime", same)], "section_key string, url string")
+    found = ingest.identify_pages(tables.read_pages(spark, str(tmp_path / "store"), fmt="html"), links)
+    got = rows(found.select("section_key", "url", "article_key", "n_urls"), "section_key", "url")
+    assert got == [("World", None, None, 0), ("World", "/listed", digest("/listed"), 1), ("World", "/own", digest("/own"), 1), ("crime", None, None, 2)]
+    whole = found.where("url is not null").withColumn("page_id", F.monotonically_increasing_id())
+    times = whole.select("section_key", "article_key", F.expr("timestamp_ntz'2024-05-01'").alias("published_at"), F.expr("timestamp_ntz'2024-06-01'").alias("fetched_at"))
+    listing = spark.createDataFrame([("world", 1, "<h3><a href='/own'>o</a></h3><h3><a href='/listed'>l</a></h3>")], LISTING)
+    result = run_archive(spark, listing, whole, times, tables.read_sections(spark), str(tmp_path / "out"), TS.format(1))
+    assert rows(result.parts.select("section_key", "month", "body")) == [("world", "2024-05", "<p>own</p>\n<p>listed</p>")]

@@ -98,6 +98,23 @@ def test_running_counts_and_ledger(spark, drops):
     assert rows(state, "section_key") == rows(seen.groupBy("section_key").count(), "section_key")
 
 
+def test_a_batch_reads_only_its_buckets(spark, drops):
+    pages, drop, base = drops
+    drop(1)
+    drop(2)
+    stream = jobs.page_stream(spark, f"{base}/in", PAGE_SCHEMA, files_per_batch=1)
+    jobs.stream_clean(stream, f"{base}/out", f"{base}/ckpt", fx.with_keys, compact_every=2).awaitTermination()
+    keys = fx.with_keys(pages).select("section_key", "article_key")
+    assert spark.read.parquet(f"{base}/out").select("article_key").distinct().count() == 50
+    bucket = keys.first()["article_key"][:2]
+    found = jobs.stored_keys(spark, f"{base}/out", 99, [bucket])
+    assert rows(found, "article_key") == rows(keys.where(F.substring("article_key", 1, 2) == bucket), "article_key")
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and f"bucket#" in plan
+    assert {f.split("bucket=")[1][:2] for f in found.where("true").inputFiles() if "bucket=" in f} >= {bucket}
+    assert spark.read.parquet(f"{base}/out-keys/whole").count() > 0
+
+
 def listing_page(section, *urls):
     return "".join(f"<h3><a href='{u}'>{section} {u}</a></h3>" for u in urls)
 

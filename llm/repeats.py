@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import Spans, by_bucket, mix, pack, packed_schema, stored, table, unpack
+from llm.common import Spans, by_bucket, mix, pack, packed_schema, release, stored, table, unpack
 from llm.suffix import repeated
 
 LENGTH = 400
 GRAM = 64
 #: Entries combined at a time, entries of a bucket, bytes of a block on average.
-COMBINE, BUCKET, BLOCK = 500_000, 250_000, 4_000_000
+COMBINE, BUCKET, BLOCK = 300_000, 150_000, 2_000_000
 #: Contexts of one anchor beyond which they are dealt out by their windows' common bytes as well.
 HOT, CHUNK = 4_000, 64
 #: Rows that go to all executors at once take this many bytes at most; more are joined by shuffle.
@@ -96,6 +96,7 @@ def _entries(buckets: int):
                     held, total = [], 0
         if held:
             yield from flush(held)
+        release()
 
     return run
 

@@ -553,10 +553,18 @@ def resume_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
+def streamed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as a file stream, whether the table is one file or a folder of them."""
+    table = f"{sf_dir}/pages.parquet"
+    if spark.read.parquet(table).inputFiles()[0].endswith("/pages.parquet"):
+        return jobs.page_stream(spark, sf_dir, PAGE_SCHEMA, glob="pages.parquet")
+    return jobs.page_stream(spark, table, PAGE_SCHEMA)
+
+
 @query
 def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_path(spark, "stream-clean")
-    pages = jobs.page_stream(spark, sf_dir, PAGE_SCHEMA, glob="pages.parquet")
+    pages = streamed_pages(spark, sf_dir)
     jobs.stream_clean(pages, f"{out}/articles", f"{out}/checkpoint", fx.with_keys).awaitTermination()
     stored = spark.read.parquet(f"{out}/articles")
     return stored.select("page_id", "section_key", "article_key", "n_blocks", "n_bytes")
@@ -565,7 +573,7 @@ def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_path(spark, "stream-counts")
-    pages = jobs.page_stream(spark, sf_dir, PAGE_SCHEMA, glob="pages.parquet")
+    pages = streamed_pages(spark, sf_dir)
     dated = fx.with_keys(pages).select("page_id", "section_key").join(
         fx.dates(spark, sf_dir).select("page_id", F.col("fetched_at").alias("published_at")), "page_id"
     )
@@ -576,7 +584,7 @@ def stream_section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_path(spark, "stream-ledger")
-    pages = jobs.page_stream(spark, sf_dir, PAGE_SCHEMA, glob="pages.parquet")
+    pages = streamed_pages(spark, sf_dir)
     query = jobs.stream_ledger(
         fx.with_keys(pages), f"{out}/ledger", f"{out}/checkpoint", fx.RUN_TS, completed=["en", "de"]
     )

@@ -10,7 +10,7 @@ from llm.common import Spans, mix
 
 WIDTH = 5
 #: Bytes of text hashed at a time; one longer text is one chunk.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _FOLD = np.uint64(0x9DDFEA08EB382D69)
 
 

@@ -148,11 +148,11 @@ def render_articles(df: DataFrame, html: str = "html") -> DataFrame:
         "page",
         F.concat(
             F.lit('<!DOCTYPE html>\n<html lang="gu">\n<head><meta charset="UTF-8"></head>\n<body>\n'),
-            F.lit("<header>\n<h1>Article Title: "),
+            F.lit(f"<header>\n<h1>{values.HEADER_TITLE}"),
             markup.escape(F.col("title")),
             F.lit("</h1>\n"),
-            row("Author", "author"),
-            row("Date", "date_text"),
+            row(values.HEADER_AUTHOR, "author"),
+            row(values.HEADER_DATE, "date_text"),
             F.lit("</header>\n"),
             F.col("body"),
             F.lit("\n</body>\n</html>"),

@@ -138,9 +138,9 @@ def cover_rows(
         F.concat_ws(
             "\n",
             F.lit(title),
-            F.concat(F.lit("Category: "), F.col("section_name")),
-            F.concat(F.lit("Month: "), F.col("month")),
-            F.concat(F.lit("Total Articles: "), F.col("n_articles").cast("string")),
-            F.concat(F.lit("Archived on: "), stamp),
+            F.concat(F.lit(values.COVER_SECTION), F.col("section_name")),
+            F.concat(F.lit(values.COVER_MONTH), F.col("month")),
+            F.concat(F.lit(values.COVER_COUNT), F.col("n_articles").cast("string")),
+            F.concat(F.lit(values.COVER_STAMP), stamp),
         ).alias("cover"),
     )

@@ -1,9 +1,4 @@
 """Schemas of the tables that pass between jobs."""
 
-SECTIONS = "section_key string, name_native string, name_english string, path string"
-LINKS = (
-    "section_key string, page_no bigint, pos bigint, url string, title string, "
-    "discovered_at timestamp_ntz"
-)
 LEDGER = "section_key string, completed boolean, n_links bigint, updated_at timestamp_ntz"
 SOURCE = "url string, category string, scraped_date timestamp_ntz"

@@ -77,3 +77,12 @@ DEFAULT_TITLE = "આર્કાઇવ લેખ"
 DEFAULT_AUTHOR = "સ્ટાફ"
 # Fixed value.
 DEFAULT_DATE = "June 2026"
+
+# Labels of a cover, and of the header of a rendered page.
+COVER_SECTION = "Category: "
+COVER_MONTH = "Month: "
+COVER_COUNT = "Total Articles: "
+COVER_STAMP = "Archived on: "
+HEADER_TITLE = "Article Title: "
+HEADER_AUTHOR = "Author"
+HEADER_DATE = "Date"

@@ -15,6 +15,7 @@ import corpus_pipeline
 from llm import pii, repeats, shingles, sigtree, suffix
 from llm.common import components
 from llm.queries import QUERIES
+from newscorpus.operators import keyed
 
 SMALL = "/root/testdata/sf0.001"
 EXTRA = "key string, n int, tid string, component_id string, start int, n_chars bigint"
@@ -86,6 +87,14 @@ def test_components_of_edited_texts(spark, edited, monkeypatch):
     assert found(docs(spark, edited)) == want
 
 
+def test_joins_by_shuffle_give_the_same(spark, edited, monkeypatch):
+    monkeypatch.setattr(keyed, "MAX_BROADCAST_KEYS", 1)
+    monkeypatch.setattr(repeats, "BROADCAST", 0)
+    ids, texts = zip(*edited)
+    assert found(docs(spark, edited)) == linked(ids, texts)
+    assert judged(repeats.removals(docs(spark, edited))) == dict(zip(ids, removed(texts)))
+
+
 def test_a_large_group_of_near_copies(spark):
     """Some hundreds of texts that share most tokens: frequent tokens, chains of links."""
     rng = random.Random(1)

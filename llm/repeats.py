@@ -8,7 +8,9 @@ among its 64-byte strings, so equal windows have equal anchors, and few position
    all their windows are repeats.
 2. Only anchors that occur in different contexts (where a repeat begins or ends) are looked into.
    Those contexts are cut out of the texts and dealt to blocks of bounded size by their anchor; in a
-   block ``suffix.repeated`` ranks the difference cover's sample and settles every window.
+   block ``suffix.repeated`` ranks the difference cover's sample and settles every window. The
+   contexts of an anchor that has too many are not sent: each of their windows is, by two hashes of
+   all its bytes, so equal windows are one entry per task and different ones part.
 3. Repeated windows become spans of each text.
 
 Entries move packed and combined within a task, so a string of a third of all documents sends one
@@ -17,7 +19,6 @@ entry per task.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -33,15 +34,20 @@ LENGTH = 400
 GRAM = 64
 #: Entries combined at a time, entries of a bucket, bytes of a block on average.
 COMBINE, BUCKET, BLOCK = 300_000, 150_000, 2_000_000
-#: Contexts of one anchor beyond which they are dealt out by their windows' common bytes as well.
-HOT, CHUNK = 4_000, 64
+#: Contexts of one anchor beyond which their windows are dealt out one by one.
+HOT = 4_000
 #: Rows that go to all executors at once take this many bytes at most; more are joined by shuffle.
 BROADCAST = 32_000_000
 
 _ENTRY = {"anchor": np.uint64, "context": np.uint64, "key": np.int64, "at": np.uint32, "lo": np.uint32, "hi": np.uint32, "count": np.uint32}
 _SPAN = {"key": np.int64, "start": np.uint32, "end": np.uint32}
 _ASK = {"key": np.int64, "anchor": np.uint64, "at": np.uint32, "lo": np.uint32, "hi": np.uint32, "flags": np.uint32}
+_WINDOW = {"hash": np.uint64, "check": np.uint64, "key": np.int64, "start": np.uint32, "end": np.uint32, "flags": np.uint32}
 WANTED, SPLIT = 1, 2
+#: Flags of windows: met again in the task; a span of repeated windows on its way to its text.
+AGAIN, TOLD = 4, 8
+#: A number for each byte, for a second hash of windows.
+LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -139,21 +145,20 @@ def _judged(buckets: int, hot: int):
     return run
 
 
-def _per_key(kinds: dict):
-    """One row for each key, with its arrays in place of those of the bucket."""
-
-    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        c = {n: unpack(group[n], kind) for n, kind in kinds.items()}
-        order = np.argsort(c["key"], kind="stable")
-        first = np.flatnonzero(np.diff(c["key"][order], prepend=~c["key"][order][:1]) != 0)
-        ends = np.append(first[1:], len(order))
-        out = {"key": pa.array(c["key"][order][first], pa.int64())}
-        for n in list(kinds)[1:]:
-            x = c[n][order]
-            out[n] = pa.array([x[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())
-        yield pa.RecordBatch.from_pydict(out)
-
-    return run
+def _per_key(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """One row of asks for each key, with its arrays in place of those of the bucket, and the number
+    of windows that are dealt out one by one."""
+    c = {n: unpack(group[n], kind) for n, kind in _ASK.items()}
+    order = np.argsort(c["key"], kind="stable")
+    c = {n: x[order] for n, x in c.items()}
+    first = np.flatnonzero(np.diff(c["key"], prepend=~c["key"][:1]) != 0)
+    ends = np.append(first[1:], len(order))
+    out = {"key": pa.array(c["key"][first], pa.int64())}
+    for n in list(_ASK)[1:]:
+        out[n] = pa.array([c[n][a:b].tobytes() for a, b in zip(first, ends)], pa.binary())
+    windows = np.where(c["flags"] & SPLIT, c["hi"].astype(np.int64) - c["lo"] + 1, 0)
+    out["windows"] = pa.array(np.add.reduceat(windows, first) if len(first) else windows, pa.int64())
+    yield pa.RecordBatch.from_pydict(out)
 
 
 def _merged(group: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -176,29 +181,24 @@ def _merged(group: pa.Table) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"key": pa.array(key[first], pa.int64()), "start": cut(start), "end": cut(end)})
 
 
+def _asks(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(text, key, anchor, at, lo, hi, flags) of each ask of a batch of texts."""
+    for i, text in enumerate(batch.column("text").cast(pa.binary())):
+        data, key = text.as_py(), batch.column("key")[i].as_py()
+        for ask in zip(*(np.frombuffer(batch.column(n)[i].as_py(), _ASK[n]).tolist() for n in list(_ASK)[1:])):
+            yield data, key, *ask
+
+
 def _cut_contexts(blocks: int):
-    """Contexts out of their texts: one row each, or one per chunk of windows for a hot anchor."""
-    names = list(_ASK)[1:]
+    """Contexts out of their texts, one row each, but for those of hot anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("bucket", "key", "lo", "hi", "wanted", "data")}
-            for i, text in enumerate(batch.column("text").cast(pa.binary())):
-                data, key = text.as_py(), batch.column("key")[i].as_py()
-                asks = [np.frombuffer(batch.column(n)[i].as_py(), _ASK[n]).tolist() for n in names]
-                for anchor, at, lo, hi, flags in zip(*asks):
-                    pieces = [(lo, hi, anchor)]
-                    if flags & SPLIT:
-                        # Windows at - s in [CHUNK * c, CHUNK * (c + 1)) all hold the bytes `common`.
-                        pieces = []
-                        for c in range((at - hi) // CHUNK, (at - lo) // CHUNK + 1):
-                            a, b = max(lo, at - CHUNK * c - CHUNK + 1), min(hi, at - CHUNK * c)
-                            common = data[at - CHUNK * c : at - CHUNK * (c + 1) + 1 + LENGTH]
-                            name = hashlib.blake2b(common, digest_size=8, salt=c.to_bytes(8, "little")).digest()
-                            pieces.append((a, b, int.from_bytes(name, "little") ^ anchor))
-                    for a, b, name in pieces:
-                        for n, x in zip(out, (name % blocks, key, a, b, bool(flags & WANTED), data[a : b + LENGTH])):
-                            out[n].append(x)
+            for data, key, anchor, _, lo, hi, flags in _asks(batch):
+                if not flags & SPLIT:
+                    for n, x in zip(out, (anchor % blocks, key, lo, hi, bool(flags & WANTED), data[lo : hi + LENGTH])):
+                        out[n].append(x)
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array(out["bucket"], pa.int32()), "key": pa.array(out["key"], pa.int64()),
                 "lo": pa.array(out["lo"], pa.int64()), "hi": pa.array(out["hi"], pa.int64()),
@@ -207,6 +207,88 @@ def _cut_contexts(blocks: int):
     return run
 
 
+def _twins(c: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Windows in order, the first of each run of equal ones, and which are also elsewhere.
+
+    A row that repeats as a whole brings the same places again, which are one place.
+    """
+    order = np.lexsort((c["start"], c["key"], c["check"], c["hash"]))
+    c = {n: x[order] for n, x in c.items()}
+    changed = lambda n: np.diff(c[n], prepend=~c[n][:1]) != 0
+    new = changed("hash") | changed("check")
+    place = new | changed("key") | changed("start")
+    first = np.flatnonzero(new)
+    twice = (np.add.reduceat(place.astype(np.int64), first) > 1) | (np.bitwise_or.reduceat(c["flags"], first) & AGAIN > 0)
+    return c, first, np.repeat(twice, np.diff(np.append(first, len(order))))
+
+
+def _windows(buckets: int):
+    """Windows of hot anchors by hashes of their bytes; equal ones of a task are one entry, and the
+    spans of those go straight to their texts."""
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        parts, key, lo, hi, wanted = zip(*held)
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        lo, hi = np.array(lo), np.array(hi)
+        size = hi - lo + LENGTH
+        count = hi - lo + 1
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(np.cumsum(size) - size, count) + nth
+        start = (np.repeat(lo, count) + nth).astype(np.uint32)
+        c = {"hash": Spans(data).of(at, at + LENGTH), "check": Spans(LETTER[data]).of(at, at + LENGTH),
+             "key": np.repeat(np.array(key, np.int64), count), "start": start, "end": start + np.uint32(LENGTH),
+             "flags": np.repeat(np.array(wanted, np.uint32), count)}
+        c, first, again = _twins(c)
+        known = again & (c["flags"] & WANTED > 0)
+        one = {n: x[first] for n, x in c.items()}
+        one["flags"] = np.where(again[first], AGAIN, one["flags"]).astype(np.uint32)
+        yield from pack(buckets, one["hash"], one)
+        key, start = c["key"][known], c["start"][known].astype(np.int64)
+        order = np.lexsort((start, key))
+        key, start = key[order], start[order]
+        opens = np.flatnonzero((np.diff(key, prepend=~key[:1]) != 0) | (np.diff(start, prepend=start[:1]) > 1))
+        last = np.append(opens[1:], len(key))[: len(opens)] - 1
+        none = np.zeros(len(opens), np.uint64)
+        told = {"hash": none, "check": none, "key": key[opens], "start": start[opens].astype(np.uint32),
+                "end": (start[last] + LENGTH).astype(np.uint32), "flags": np.full(len(opens), TOLD, np.uint32)}
+        yield from pack(buckets, told["key"].view(np.uint64), told)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, size = [], 0, 0
+        for batch in batches:
+            for data, key, _, _, lo, hi, flags in _asks(batch):
+                if flags & SPLIT:
+                    held.append((data[lo : hi + LENGTH], key, lo, hi, flags & WANTED))
+                    total += hi - lo + 1
+                    size += hi - lo + LENGTH
+                    if total > COMBINE or size > BLOCK:
+                        yield from flush(held)
+                        held, total, size = [], 0, 0
+        if held:
+            yield from flush(held)
+        release()
+
+    return run
+
+
+def _counted(buckets: int):
+    """Spans of the repeated windows of a bucket."""
+
+    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        c = {n: unpack(group[n], kind) for n, kind in _WINDOW.items()}
+        told = c["flags"] & TOLD > 0
+        spans = [{n: c[n][told] for n in _SPAN}]
+        c = {n: x[~told] for n, x in c.items()}
+        if len(c["key"]):
+            c, _, again = _twins(c)
+            again &= c["flags"] & WANTED > 0
+            spans.append({n: c[n][again] for n in _SPAN})
+        span = {n: np.concatenate([s[n] for s in spans]) for n in _SPAN}
+        yield from pack(buckets, span["key"].view(np.uint64), span)
+
+    return run
+
+
 def _settled(buckets: int):
     """Spans of the repeated windows of a block."""
 
@@ -247,9 +329,10 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     judged = packed_schema(list(dict.fromkeys([*_SPAN, *_ASK]))) + ", kind string"
     told = stored(by_bucket(entries, _judged(buckets, hot), judged), "judged")
     asked = told.where("kind = 'ask'").select("bucket", *_ASK)
-    asks = stored(by_bucket(asked, _per_key(_ASK), "key long, " + ", ".join(f"{n} binary" for n in list(_ASK)[1:])), "asks").join(one.select("key", "_doc"), "key")
+    per_key = "key long, " + ", ".join(f"{n} binary" for n in list(_ASK)[1:]) + ", windows long"
+    asks = stored(by_bucket(asked, _per_key, per_key), "asks").join(one.select("key", "_doc"), "key")
     asks = asks.withColumnRenamed("key", "_key")
-    lines = asks.agg(F.count("*"), F.sum(F.octet_length("at") / 4)).first()
+    lines = asks.agg(F.count("*"), F.sum(F.octet_length("at") / 4), F.sum("windows")).first()
     contexts = int(lines[1] or 0)
     wide = 40 + 24 * contexts / max(1, lines[0])
     blocks = max(1, math.ceil(contexts * 1.5 * LENGTH / BLOCK))
@@ -259,6 +342,9 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     pieces = cut.mapInArrow(_cut_contexts(blocks), "bucket int, key long, lo long, hi long, wanted boolean, data binary")
     settled = by_bucket(pieces, _settled(buckets), packed_schema(list(_SPAN)))
     spans = told.where("kind = 'span'").select("bucket", *_SPAN).unionAll(settled)
+    if lines[2]:
+        windows = cut.mapInArrow(_windows(math.ceil(lines[2] / BUCKET)), packed_schema(list(_WINDOW)))
+        spans = spans.unionAll(by_bucket(windows, _counted(buckets), packed_schema(list(_SPAN))))
     return by_bucket(spans, _merged, "key long, start binary, end binary")
 
 

@@ -216,6 +216,28 @@ def test_repeats_of_equal_rows_and_no_rows(spark):
     assert repeats.removals(docs(spark, [])).count() == 0
 
 
+def test_a_passage_between_distinct_surroundings_meets_in_no_task(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh", k=450))
+    around = lambda: "".join(rng.choices("ijklmnop", k=200))
+    texts = [around() + passage + around() for _ in range(1500)]
+    rows = [*enumerate(texts), (0, texts[0])]
+    largest = []
+
+    def watched(df, *rest):
+        size = sum(F.octet_length(c) for c, kind in df.dtypes if kind == "binary")
+        largest.append(df.groupBy("bucket").agg(F.sum(size).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return by_bucket(df, *rest)
+
+    by_bucket = repeats.by_bucket
+    monkeypatch.setattr(repeats, "by_bucket", watched)
+    monkeypatch.setattr(repeats, "BUCKET", 5_000)
+    monkeypatch.setattr(repeats, "BLOCK", 100_000)
+    got = judged(repeats.removals(docs(spark, rows), hot=50))
+    want = removed([t for _, t in rows])
+    assert got == dict(enumerate(want[:-1])) and got[0] == want[-1] and max(largest) < 500_000
+
+
 @pytest.mark.parametrize("length", [16, 29, 64, 100, 400])
 def test_ranks_name_windows_exactly(length):
     rng = np.random.default_rng(length)

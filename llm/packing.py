@@ -10,6 +10,7 @@ partitions alike. Sent documents form one stream, cut every ``length`` tokens in
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,6 +20,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from llm.bpe import byte_letters
 from llm.common import stored, table
@@ -31,6 +33,9 @@ WINDOW = 32
 SEPARATOR = 1
 #: The pattern that byte-level vocabularies split text by; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Blanks in a row from which on a text goes to the slower library: the faster one fails near a million.
+BLANKS = 100_000
+_MANY_BLANKS = re.compile(rf"(?<!\s)\s{{{BLANKS}}}")
 
 
 @lru_cache(2)
@@ -44,6 +49,18 @@ def load(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(2)
+def library(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+def encode(text: str, path: str) -> list[int]:
+    """Ids of a text of any length, with whatever runs of blanks."""
+    if len(text) >= BLANKS and _MANY_BLANKS.search(text):
+        return library(path).encode(text, add_special_tokens=False).ids
+    return load(path).encode(text, allowed_special="all")
+
+
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, source, row, n, ids (unsigned 32-bit numbers, or 16-bit where the vocabulary fits).
 
@@ -53,12 +70,11 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.monotonically_increasing_id().alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = load(path)
-        kind = _kind(encoding)
+        kind = _kind(load(path))
         for batch in batches:
             ids = []
             for text in batch.column(3).to_pylist():
-                ids.append(np.array([*encoding.encode(text or "", allowed_special="all"), SEPARATOR], kind))
+                ids.append(np.array([*encode(text or "", path), SEPARATOR], kind))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
                 ["doc_id", "source", "row", "n", "ids"],

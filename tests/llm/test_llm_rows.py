@@ -181,6 +181,14 @@ def test_pieces_are_whole_and_sequences_full(spark):
     assert packing.pack(df.limit(0), PATH).count() == 0
 
 
+def test_long_runs_of_blanks(spark):
+    texts = [f"a{' ' * 1_200_000}b", "\n" * 1_200_000, "x<|endoftext|>" + "\t " * 600_000 + "<|endoftext|>y", "a " * 100_000]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    library = Tokenizer.from_file(PATH)
+    for r in packing.tokenised(df, PATH).collect():
+        assert np.frombuffer(r["ids"], np.uint16).tolist() == [*library.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 1]
+
+
 def test_mixture_holds_and_deficits_carry(spark):
     rng = np.random.default_rng(0)
     rows = [(i, "abc"[i % 3], int(n)) for i, n in enumerate(rng.integers(1, 90, 3000))]

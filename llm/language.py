@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from llm.common import mix, powers, release, table
 from newscorpus.operators.keyed import broadcast_if_few
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters of a word; a longer run of letters, as in scripts without blanks, is several words.
+LETTERS = 24
+WORD = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}")
 HASH_BITS = 18
 #: Bounds of the training sample: documents and characters of each language.
 TRAIN_DOCS = 400
@@ -29,8 +31,6 @@ MOST_DOCS = 20_000
 TRAIN_CHARS = 400_000
 #: Words of one chain; a longer text is several chains, each entered by the start weights.
 CHAIN = 64
-#: Words of a chain's longest described prefix of letters; longer words are described by both ends.
-LETTERS = 24
 LEXICON = 400
 CACHE = 200_000
 
@@ -46,9 +46,8 @@ class Model:
 
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) pairs: form, prefixes and suffixes of 1 to 4, n-grams of 1 to 4, lexicon bits."""
-    trimmed = [w if len(w) <= LETTERS else w[: LETTERS // 2] + w[-LETTERS // 2 :] for w in words]
-    size = np.array([len(w) for w in trimmed]) + 2
-    flat = np.frombuffer("".join(f"\x02{w}\x03" for w in trimmed).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.array([len(w) for w in words]) + 2
+    flat = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
     ends = np.cumsum(size)
     starts = ends - size
     row = np.repeat(np.arange(len(words)), size)
@@ -108,7 +107,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 4, ba
     runs: list[tuple[int, list[str]]] = []
     counts: list[dict[str, int]] = [{} for _ in labels]
     for text, lang in zip(texts, langs):
-        words, k = [w.lower() for w in WORD.findall(text)], labels.index(lang)
+        words, k = WORD.findall(text.lower()), labels.index(lang)
         for w in words:
             counts[k][w] = counts[k].get(w, 0) + 1
         at = 0

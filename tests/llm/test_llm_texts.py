@@ -154,6 +154,12 @@ def test_language_edge_cases(spark, model):
     assert language.predict(df.limit(0), model).count() == 0
 
 
+def test_every_letter_of_a_long_run_is_read(spark, model):
+    run = "thetion" * 4 + "schkeit" * 400 + "thetion" * 4
+    rows = language.predict(docs(spark, run, "thetioning" * 50 + "schkeitund" * 50), model).orderBy("doc_id").collect()
+    assert rows[0]["lang_pred"] == "bb" and rows[0]["score"] > 0.9 and 0.4 < rows[1]["score"] < 0.6
+
+
 # BPE
 
 PATH = public_tokenizers.path("word_bpe_49k.json")

@@ -9,23 +9,24 @@ as well; a document's language is the one with the largest share of its letters.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm.common import mix, powers, release, table
+from llm.common import mix, powers, release, stored, table
 from newscorpus.operators.keyed import broadcast_if_few
 
 #: Letters of a word; a longer run of letters, as in scripts without blanks, is several words.
 LETTERS = 24
 WORD = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}")
 HASH_BITS = 18
-#: Bounds of the training sample: documents and characters of each language.
+#: Bounds of the training sample: documents of each language and of all, characters of each language.
 TRAIN_DOCS = 400
 MOST_DOCS = 20_000
 TRAIN_CHARS = 400_000
@@ -212,21 +213,28 @@ def word_marginals(texts: list[list[str]], model: Model, cache: dict[str, int],
 
 
 def sample(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS, chars_per_lang: int = TRAIN_CHARS) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled texts for the fit: about ``docs_per_lang`` documents of each
-    language, MOST_DOCS at all, chosen by a digest of their text, and of each a window of words at a
-    place the digest sets, so that no language brings more than about ``chars_per_lang`` characters.
+    """A bounded sample of labelled texts for the fit: of each language ``docs_per_lang`` distinct
+    texts, or its share of MOST_DOCS where languages are many, chosen by a digest of their text, and
+    of each a window of characters at a place the digest sets, so that no language brings more than
+    about ``chars_per_lang`` characters.
     """
-    langs = docs.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "_lang")
+    langs = docs.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).withColumnRenamed("lang", "_lang")
+    langs = stored(langs, "languages")
+    most = min(docs_per_lang, max(1, MOST_DOCS // max(1, langs.count())))
+    # More are drawn than are kept, so that chance and the estimated counts leave no language short.
+    drawn = most + 5 * math.sqrt(most) + 10
     width = max(1, chars_per_lang // docs_per_lang)
     draw = F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(1 << 30))
     spare = F.greatest(F.char_length("text") - width, F.lit(0))
     rows = (
         docs.join(broadcast_if_few(langs), docs["lang"] == langs["_lang"])
-        .where(draw < F.lit(float(1 << 30)) * docs_per_lang / F.col("n"))
+        .where(draw < F.lit(float(1 << 30)) * drawn / F.col("n"))
         .select("lang", draw.alias("draw"), F.expr("pmod(xxhash64(text, 'place'), 1000003)").alias("_at"), spare.alias("_spare"), "text")
         .select("lang", "draw", F.substr("text", (F.floor(F.col("_at") / 1000003 * F.col("_spare")) + 1).cast("int"), F.lit(width)).alias("text"))
+        .distinct()
+        .withColumn("_nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text")))
+        .where(F.col("_nth") <= most)
         .orderBy("draw", "lang", "text")
-        .limit(MOST_DOCS)
         .collect()
     )
     return [r["text"] for r in rows], [r["lang"] for r in rows]

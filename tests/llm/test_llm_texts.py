@@ -160,6 +160,16 @@ def test_every_letter_of_a_long_run_is_read(spark, model):
     assert rows[0]["lang_pred"] == "bb" and rows[0]["score"] > 0.9 and 0.4 < rows[1]["score"] < 0.6
 
 
+def test_sample_has_all_languages_and_distinct_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_DOCS", 60)
+    common = spark.range(8000).select(F.concat(F.lit("word "), "id").alias("text"), F.concat(F.lit("l"), F.col("id") % 8).alias("lang"))
+    rare = spark.range(20).select(F.concat(F.lit("rare "), "id").alias("text"), F.lit("rare").alias("lang"))
+    copies = spark.range(5000).select(F.concat(F.lit("same "), F.col("id") % 3).alias("text"), F.lit("copied").alias("lang"))
+    texts, langs = language.sample(common.unionAll(rare).unionAll(copies))
+    assert len(texts) == len(set(texts)) and {lang: langs.count(lang) for lang in langs} == {
+        **{f"l{k}": 6 for k in range(8)}, "rare": 6, "copied": 3}
+
+
 # BPE
 
 PATH = public_tokenizers.path("word_bpe_49k.json")

@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 from llm import language, packing, pii, repeats, sigtree
 from llm.common import small_batches, stored, table
 
-#: A document whose best language has a smaller share of its letters has no language.
-LEAST_SHARE = 0.4
+#: A document whose words are less certain to be of any language has no language.
+LEAST_CERTAINTY = 0.4
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters, and those in which no language reaches LEAST_SHARE."""
+    """Drop documents without letters, and those whose words fit no language with LEAST_CERTAINTY.
+
+    Code-switched texts stay, however many languages they have, and all with letters if no document
+    has a label to learn from.
+    """
     small_batches(spark)
     model = language.fit(docs.where(~language.held_out()))
-    found = language.predict(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    found = language.predict(docs, model, certainty=True)
+    return found.where(F.col("certainty") >= LEAST_CERTAINTY).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

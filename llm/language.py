@@ -245,13 +245,16 @@ def fit(docs: DataFrame) -> Model:
     return train(*sample(docs.where("text is not null and lang is not null").select("text", "lang")))
 
 
-def predict(docs: DataFrame, model: Model, keep_marginals: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep_marginals: bool = False, certainty: bool = False) -> DataFrame:
     """The columns of ``docs`` with ``lang_pred`` and ``score``, the mean marginal of that language
     over the text's letters. Null texts and texts without letters, and all texts if nothing was
     learned, give ``und`` and 0. Columns of these names are replaced. Map-only.
+
+    ``certainty`` adds a column of that name, the mean over the text's letters of each word's
+    likeliest language, whichever it is: 0 without letters, else 1 if nothing was learned.
     """
-    kept = docs.drop("lang_pred", "score")
-    schema = kept.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    kept = docs.drop("lang_pred", "score", *["certainty"][: int(certainty)])
+    schema = kept.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)} | ({"certainty": F.lit(0.0)} if certainty else {})).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
@@ -260,6 +263,7 @@ def predict(docs: DataFrame, model: Model, keep_marginals: bool = False) -> Data
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             split = [WORD.findall(t.lower()) if t else [] for t in texts]
             best, score = np.full(len(texts), -1), np.zeros(len(texts))
+            sure = np.array([1.0 if ws else 0.0 for ws in split])
             if model.labels and any(split):
                 marginal, owner = word_marginals(split, model, cache, rows)
                 letters = np.array([len(w) for ws in split for w in ws], float)
@@ -268,8 +272,10 @@ def predict(docs: DataFrame, model: Model, keep_marginals: bool = False) -> Data
                 some = total > 0
                 best[some] = share[some].argmax(axis=1)
                 score[some] = np.clip(share[some].max(axis=1) / total[some], 0, 1)
+                sure[some] = np.clip(np.bincount(owner, marginal.max(axis=1) * letters, len(texts))[some] / total[some], 0, 1)
             names = pa.array([model.labels[b] if b >= 0 else "und" for b in best], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, names, pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+            columns = {"lang_pred": names, "score": pa.array(score)} | ({"certainty": pa.array(sure)} if certainty else {})
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
         release()
 
     return kept.mapInArrow(run, schema)

@@ -295,5 +295,18 @@ def test_pipeline_stage_by_stage(spark):
     assert all(r["n"] == 2048 for r in sizes[:-1]) and [r["sequence_id"] for r in sizes] == list(range(len(sizes)))
 
 
+def test_language_stage_keeps_clean_documents(spark):
+    rng = random.Random(2)
+    parts = {"aa": ["tion", "ing", "the"], "bb": ["keit", "sch", "und"], "cc": ["oqua", "lliz", "vexo"]}
+    write = lambda lang, n: " ".join("".join(rng.choices(parts[lang], k=3)) for _ in range(n))
+    rows = [(3 * i + k, write(lang, 60), lang) for i in range(60) for k, lang in enumerate(parts)]
+    rows += [(1000 + i, " ".join(write(lang, 40) for lang in parts), None) for i in range(5)] + [(2000, "12 !", None), (2001, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    want = sorted(r[0] for r in rows if r[0] < 2000)
+    for given in (df, df.withColumn("lang", F.lit(None).cast("string"))):
+        kept = corpus_pipeline.keep_languages(spark, given, SMALL)
+        assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == want
+
+
 def test_pipeline_runs_as_a_query(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0 and corpus_pipeline.ORACLE_SQL is None

@@ -42,6 +42,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key of more than one row in this many is hot; so there are at most this many hot keys.
+HOT_SHARE = 1000
+
+
+def lookup(rows: DataFrame, named: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the one row that ``named`` has for each ``key`` (how: inner or left).
+
+    Any share of ``rows`` may have one key: those of hot keys, at most HOT_SHARE of them, meet their
+    rows of ``named`` by broadcast, only the others by shuffle. Both sides are read twice; pass
+    stored, narrow rows without null keys.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = rows.count()
+    hot = stored(counts.where(F.col("_n") * HOT_SHARE > total).select(key), "hot")
+    if hot.isEmpty():
+        return rows.join(named, key, how)
+    of_hot = F.broadcast(named.join(F.broadcast(hot), key, "left_semi"))
+    often = rows.join(F.broadcast(hot), key, "left_semi").join(of_hot, key, how)
+    return often.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(named, key, how))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text of an Arrow column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

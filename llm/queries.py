@@ -10,6 +10,7 @@ from llm.repeats import op8_difference_cover_dedup
 from llm.sharding import OP6_SQL, op6_jump_hash_shards
 from llm.sigtree import op7_signature_tree_join
 from llm.vafile import OP4_SQL, op4_va_file_top_k
+from llm.warc import OP13_SQL, op13_warc_segments
 
 QUERIES = {
     f.__name__: f
@@ -24,6 +25,7 @@ QUERIES = {
         op8_difference_cover_dedup,
         op9_int8_near_dedup,
         op10_mixture_packing,
+        op13_warc_segments,
     )
 }
 
@@ -32,4 +34,5 @@ ORACLES = {
     "op4_va_file_top_k": OP4_SQL,
     "op6_jump_hash_shards": OP6_SQL,
     "op9_int8_near_dedup": OP9_SQL,
+    "op13_warc_segments": OP13_SQL,
 }

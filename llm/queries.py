@@ -4,6 +4,7 @@ from llm.bpe import op5_bpe_segment_tree
 from llm.chat import OP2_SQL, op2_perspective_rotation
 from llm.embed import OP9_SQL, op9_int8_near_dedup
 from llm.language import op3_crf_language
+from llm.lexical import OP11_SQL, op11_shared_lexical_search
 from llm.packing import op10_mixture_packing
 from llm.pii import op1_pii_anchor_expansion
 from llm.repeats import op8_difference_cover_dedup
@@ -25,6 +26,7 @@ QUERIES = {
         op8_difference_cover_dedup,
         op9_int8_near_dedup,
         op10_mixture_packing,
+        op11_shared_lexical_search,
         op13_warc_segments,
     )
 }
@@ -34,5 +36,6 @@ ORACLES = {
     "op4_va_file_top_k": OP4_SQL,
     "op6_jump_hash_shards": OP6_SQL,
     "op9_int8_near_dedup": OP9_SQL,
+    "op11_shared_lexical_search": OP11_SQL,
     "op13_warc_segments": OP13_SQL,
 }

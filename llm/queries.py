@@ -10,6 +10,7 @@ from llm.pii import op1_pii_anchor_expansion
 from llm.repeats import op8_difference_cover_dedup
 from llm.sharding import OP6_SQL, op6_jump_hash_shards
 from llm.sigtree import op7_signature_tree_join
+from llm.trie import OP12_SQL, op12_burst_trie
 from llm.vafile import OP4_SQL, op4_va_file_top_k
 from llm.warc import OP13_SQL, op13_warc_segments
 
@@ -27,6 +28,7 @@ QUERIES = {
         op9_int8_near_dedup,
         op10_mixture_packing,
         op11_shared_lexical_search,
+        op12_burst_trie,
         op13_warc_segments,
     )
 }
@@ -37,5 +39,6 @@ ORACLES = {
     "op6_jump_hash_shards": OP6_SQL,
     "op9_int8_near_dedup": OP9_SQL,
     "op11_shared_lexical_search": OP11_SQL,
+    "op12_burst_trie": OP12_SQL,
     "op13_warc_segments": OP13_SQL,
 }

@@ -42,6 +42,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(columns: list[str]) -> str:
+    """Underscores that no column begins with, for names of columns that are added for a while."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 #: A key of more than one row in this many is hot; so there are at most this many hot keys.
 HOT_SHARE = 1000
 

@@ -33,6 +33,8 @@ TRAIN_CHARS = 400_000
 #: Words of one chain; a longer text is several chains, each entered by the start weights.
 CHAIN = 64
 LEXICON = 400
+#: Bit sets of more languages than fit 64 bits are taken modulo this prime.
+WIDE = 2**64 - 59
 CACHE = 200_000
 
 
@@ -70,7 +72,7 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     known = [(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon]
     if known:
         rows.append(np.array([i for i, _ in known]))
-        ids.append(mix(np.array([b for _, b in known], np.uint64) + np.uint64(7 << 44)))
+        ids.append(mix(np.array([b % WIDE for _, b in known], np.uint64) + np.uint64(7 << 44)))
     return np.concatenate(rows), (np.concatenate(ids) & np.uint64(2**HASH_BITS - 1)).astype(np.int64)
 
 
@@ -245,16 +247,18 @@ def fit(docs: DataFrame) -> Model:
     return train(*sample(docs.where("text is not null and lang is not null").select("text", "lang")))
 
 
-def predict(docs: DataFrame, model: Model, keep_marginals: bool = False, certainty: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: Model, certainty: bool = False, prefix: str = "") -> DataFrame:
     """The columns of ``docs`` with ``lang_pred`` and ``score``, the mean marginal of that language
     over the text's letters. Null texts and texts without letters, and all texts if nothing was
     learned, give ``und`` and 0. Columns of these names are replaced. Map-only.
 
     ``certainty`` adds a column of that name, the mean over the text's letters of each word's
     likeliest language, whichever it is: 0 without letters, else 1 if nothing was learned.
+    ``prefix`` goes before the names of all new columns.
     """
-    kept = docs.drop("lang_pred", "score", *["certainty"][: int(certainty)])
-    schema = kept.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)} | ({"certainty": F.lit(0.0)} if certainty else {})).schema
+    added = [prefix + n for n in ("lang_pred", "score", "certainty")[: 2 + int(certainty)]]
+    kept = docs.drop(*added)
+    schema = kept.withColumns(dict(zip(added, (F.lit(""), F.lit(0.0), F.lit(0.0))))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
@@ -274,8 +278,8 @@ def predict(docs: DataFrame, model: Model, keep_marginals: bool = False, certain
                 score[some] = np.clip(share[some].max(axis=1) / total[some], 0, 1)
                 sure[some] = np.clip(np.bincount(owner, marginal.max(axis=1) * letters, len(texts))[some] / total[some], 0, 1)
             names = pa.array([model.labels[b] if b >= 0 else "und" for b in best], pa.string())
-            columns = {"lang_pred": names, "score": pa.array(score)} | ({"certainty": pa.array(sure)} if certainty else {})
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
+            columns = [names, pa.array(score), pa.array(sure)][: len(added)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *added])
         release()
 
     return kept.mapInArrow(run, schema)

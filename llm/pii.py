@@ -132,8 +132,8 @@ def find_spans(text: str | None, found: ahocorasick.Automaton) -> list[tuple[int
                 if 10 <= sum(c in _DIGITS for c in text[span[0] : span[1]]) <= 15:
                     spans.append((*span, kind))
         elif kind == "url":
-            body = _URL.match(text, last + 1)
-            if at >= linked and body:
+            # Schemes inside a URL are not matched to its end again.
+            if at >= linked and (body := _URL.match(text, last + 1)):
                 end = last + 1 + len(body.group().rstrip(".,;:!?)'"))
                 if end > last + 1:
                     spans.append((at, end, kind))

@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import Spans, by_bucket, mix, pack, packed_schema, release, stored, table, unpack
+from llm.common import Spans, free_prefix, by_bucket, mix, pack, packed_schema, release, stored, table, unpack
 from llm.suffix import repeated
 
+#: Bytes of a window: strings of that length that occur more than once are repeats. Bytes of an anchor.
 LENGTH = 400
 GRAM = 64
 #: Entries combined at a time, entries of a bucket, bytes of a block on average.
@@ -52,6 +53,7 @@ LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """(anchor, context, at, lo, hi): windows beginning at lo .. hi chose the string at ``at``."""
+    gram = min(gram, length // 2)
     sums = Spans(data)
     here = np.arange(len(data) - gram + 1)
     hashed = sums.of(here, here + gram)
@@ -70,7 +72,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     return anchor, context, at, lo, hi
 
 
-def _entries(buckets: int):
+def _entries(buckets: int, length: int):
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         columns = dict(zip(_ENTRY, (np.concatenate(x) for x in zip(*held))))
         order = np.lexsort((columns["context"], columns["anchor"]))
@@ -93,7 +95,7 @@ def _entries(buckets: int):
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
-                anchor, context, at, lo, hi = anchors(data)
+                anchor, context, at, lo, hi = anchors(data, length)
                 n = len(at)
                 held.append((anchor, context, np.full(n, key), *(x.astype(np.uint32) for x in (at, lo, hi)), np.ones(n, np.uint32)))
                 total += n
@@ -115,7 +117,7 @@ def _tagged(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_pydict(columns | {"kind": pa.array([kind] * len(batch))})
 
 
-def _judged(buckets: int, hot: int):
+def _judged(buckets: int, hot: int, length: int):
     """Which contexts of a bucket occur again; which have to be looked into."""
 
     def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -140,7 +142,7 @@ def _judged(buckets: int, hot: int):
             ask = {n: c[n][rows] for n in ("key", "anchor", "at", "lo", "hi")} | {"flags": flags.astype(np.uint32)}
             yield from _tagged(pack(buckets, ask["key"].view(np.uint64), ask), "ask")
         key, lo, hi = (np.concatenate([s[n] for s in spans]) for n in ("key", "lo", "hi"))
-        yield from _tagged(pack(buckets, key.view(np.uint64), {"key": key, "start": lo, "end": hi + np.uint32(LENGTH)}), "span")
+        yield from _tagged(pack(buckets, key.view(np.uint64), {"key": key, "start": lo, "end": hi + np.uint32(length)}), "span")
 
     return run
 
@@ -189,7 +191,7 @@ def _asks(batch: pa.RecordBatch) -> Iterator[tuple]:
             yield data, key, *ask
 
 
-def _cut_contexts(blocks: int):
+def _cut_contexts(blocks: int, length: int):
     """Contexts out of their texts, one row each, but for those of hot anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +199,7 @@ def _cut_contexts(blocks: int):
             out: dict[str, list] = {n: [] for n in ("bucket", "key", "lo", "hi", "wanted", "data")}
             for data, key, anchor, _, lo, hi, flags in _asks(batch):
                 if not flags & SPLIT:
-                    for n, x in zip(out, (anchor % blocks, key, lo, hi, bool(flags & WANTED), data[lo : hi + LENGTH])):
+                    for n, x in zip(out, (anchor % blocks, key, lo, hi, bool(flags & WANTED), data[lo : hi + length])):
                         out[n].append(x)
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array(out["bucket"], pa.int32()), "key": pa.array(out["key"], pa.int64()),
@@ -222,7 +224,7 @@ def _twins(c: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray,
     return c, first, np.repeat(twice, np.diff(np.append(first, len(order))))
 
 
-def _windows(buckets: int):
+def _windows(buckets: int, length: int):
     """Windows of hot anchors by hashes of their bytes; equal ones of a task are one entry, and the
     spans of those go straight to their texts."""
 
@@ -230,13 +232,13 @@ def _windows(buckets: int):
         parts, key, lo, hi, wanted = zip(*held)
         data = np.frombuffer(b"".join(parts), np.uint8)
         lo, hi = np.array(lo), np.array(hi)
-        size = hi - lo + LENGTH
+        size = hi - lo + length
         count = hi - lo + 1
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         at = np.repeat(np.cumsum(size) - size, count) + nth
         start = (np.repeat(lo, count) + nth).astype(np.uint32)
-        c = {"hash": Spans(data).of(at, at + LENGTH), "check": Spans(LETTER[data]).of(at, at + LENGTH),
-             "key": np.repeat(np.array(key, np.int64), count), "start": start, "end": start + np.uint32(LENGTH),
+        c = {"hash": Spans(data).of(at, at + length), "check": Spans(LETTER[data]).of(at, at + length),
+             "key": np.repeat(np.array(key, np.int64), count), "start": start, "end": start + np.uint32(length),
              "flags": np.repeat(np.array(wanted, np.uint32), count)}
         c, first, again = _twins(c)
         known = again & (c["flags"] & WANTED > 0)
@@ -250,7 +252,7 @@ def _windows(buckets: int):
         last = np.append(opens[1:], len(key))[: len(opens)] - 1
         none = np.zeros(len(opens), np.uint64)
         told = {"hash": none, "check": none, "key": key[opens], "start": start[opens].astype(np.uint32),
-                "end": (start[last] + LENGTH).astype(np.uint32), "flags": np.full(len(opens), TOLD, np.uint32)}
+                "end": (start[last] + length).astype(np.uint32), "flags": np.full(len(opens), TOLD, np.uint32)}
         yield from pack(buckets, told["key"].view(np.uint64), told)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,9 +260,9 @@ def _windows(buckets: int):
         for batch in batches:
             for data, key, _, _, lo, hi, flags in _asks(batch):
                 if flags & SPLIT:
-                    held.append((data[lo : hi + LENGTH], key, lo, hi, flags & WANTED))
+                    held.append((data[lo : hi + length], key, lo, hi, flags & WANTED))
                     total += hi - lo + 1
-                    size += hi - lo + LENGTH
+                    size += hi - lo + length
                     if total > COMBINE or size > BLOCK:
                         yield from flush(held)
                         held, total, size = [], 0, 0
@@ -289,7 +291,7 @@ def _counted(buckets: int):
     return run
 
 
-def _settled(buckets: int):
+def _settled(buckets: int, length: int):
     """Spans of the repeated windows of a block."""
 
     def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -304,10 +306,10 @@ def _settled(buckets: int):
         count = hi - lo + 1
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         starts = np.repeat(begin, count) + nth
-        again = repeated(np.frombuffer(b"".join(parts), np.uint8), starts, LENGTH) & np.repeat(wanted, count)
+        again = repeated(np.frombuffer(b"".join(parts), np.uint8), starts, length) & np.repeat(wanted, count)
         owner = np.repeat(np.arange(len(key)), count)[again]
         start = lo[owner] + nth[again]
-        yield from pack(buckets, key[owner].view(np.uint64), {"key": key[owner], "start": start.astype(np.uint32), "end": (start + LENGTH).astype(np.uint32)})
+        yield from pack(buckets, key[owner].view(np.uint64), {"key": key[owner], "start": start.astype(np.uint32), "end": (start + length).astype(np.uint32)})
 
     return run
 
@@ -316,18 +318,20 @@ def _small(df: DataFrame, row_bytes: float) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST else df
 
 
-def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, hot: int = HOT, length: int = LENGTH) -> DataFrame:
     """key (xxhash64 of the text), start, end: packed 32-bit offsets in bytes of the spans covered by
-    strings of LENGTH bytes that begin anywhere else too. Texts without such spans have no row."""
-    texts = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", F.xxhash64("text").alias("key"), "text")
+    strings of ``length`` bytes (64 or more) that begin anywhere else too. Texts without such spans
+    have no row."""
+    gram = min(GRAM, length // 2)
+    texts = docs.where(F.octet_length("text") >= length).select("doc_id", F.xxhash64("text").alias("key"), "text")
     keyed = texts.select("doc_id", "key", F.octet_length("text").alias("n"))
     one = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("_doc"), F.count("*").alias("_n"), F.sum("n").alias("_bytes")), "texts")
     total = one.agg(F.sum("_bytes")).first()[0] or 0
-    buckets = max(1, math.ceil(total * 2 / (LENGTH - GRAM) / BUCKET))
+    buckets = max(1, math.ceil(total * 2 / (length - gram) / BUCKET))
     schema = packed_schema(list(_ENTRY))
-    entries = texts.select("key", "text").mapInArrow(_entries(buckets), schema)
+    entries = texts.select("key", "text").mapInArrow(_entries(buckets, length), schema)
     judged = packed_schema(list(dict.fromkeys([*_SPAN, *_ASK]))) + ", kind string"
-    told = stored(by_bucket(entries, _judged(buckets, hot), judged), "judged")
+    told = stored(by_bucket(entries, _judged(buckets, hot, length), judged), "judged")
     asked = told.where("kind = 'ask'").select("bucket", *_ASK)
     per_key = "key long, " + ", ".join(f"{n} binary" for n in list(_ASK)[1:]) + ", windows long"
     asks = stored(by_bucket(asked, _per_key, per_key), "asks").join(one.select("key", "_doc"), "key")
@@ -335,29 +339,34 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     lines = asks.agg(F.count("*"), F.sum(F.octet_length("at") / 4), F.sum("windows")).first()
     contexts = int(lines[1] or 0)
     wide = 40 + 24 * contexts / max(1, lines[0])
-    blocks = max(1, math.ceil(contexts * 1.5 * LENGTH / BLOCK))
+    blocks = max(1, math.ceil(contexts * 1.5 * length / BLOCK))
     cut = texts.join(_small(asks, wide), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select(
         "key", "text", *list(_ASK)[1:]
     )
-    pieces = cut.mapInArrow(_cut_contexts(blocks), "bucket int, key long, lo long, hi long, wanted boolean, data binary")
-    settled = by_bucket(pieces, _settled(buckets), packed_schema(list(_SPAN)))
+    pieces = cut.mapInArrow(_cut_contexts(blocks, length), "bucket int, key long, lo long, hi long, wanted boolean, data binary")
+    settled = by_bucket(pieces, _settled(buckets, length), packed_schema(list(_SPAN)))
     spans = told.where("kind = 'span'").select("bucket", *_SPAN).unionAll(settled)
     if lines[2]:
-        windows = cut.mapInArrow(_windows(math.ceil(lines[2] / BUCKET)), packed_schema(list(_WINDOW)))
+        windows = cut.mapInArrow(_windows(math.ceil(lines[2] / BUCKET), length), packed_schema(list(_WINDOW)))
         spans = spans.unionAll(by_bucket(windows, _counted(buckets), packed_schema(list(_SPAN))))
     return by_bucket(spans, _merged, "key long, start binary, end binary")
 
 
-def with_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """``docs`` with ``_start`` and ``_end``, packed byte offsets of what repeats (null: nothing)."""
-    spans = stored(repeated_spans(docs, hot), "spans").select(F.col("key").alias("_key"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    width = 40 + 8 * (spans.agg(F.avg(F.octet_length("_start") / 4)).first()[0] or 0)
-    return docs.join(_small(spans, width), F.xxhash64("text") == F.col("_key"), "left").drop("_key")
+def with_spans(docs: DataFrame, hot: int = HOT, length: int = LENGTH) -> DataFrame:
+    """``docs`` with two more columns, packed byte offsets of starts and ends of what repeats (null: nothing)."""
+    key, start, end = (free_prefix(docs.columns) + n for n in ("key", "start", "end"))
+    spans = stored(repeated_spans(docs.select("doc_id", "text"), hot, length), "spans")
+    spans = spans.select(F.col("key").alias(key), F.col("start").alias(start), F.col("end").alias(end))
+    width = 40 + 8 * (spans.agg(F.avg(F.octet_length(start) / 4)).first()[0] or 0)
+    return docs.join(_small(spans, width), F.xxhash64("text") == F.col(key), "left").select(*docs.columns, start, end)
 
 
-def _keep(text: str | None, start: bytes | None, end: bytes | None) -> tuple[bytes, list[tuple[int, int]]]:
+def _keep(text: str | None, start: bytes | None, end: bytes | None, words: int = 0) -> tuple[bytes, list[tuple[int, int]]]:
+    """What is left without the spans that hold ``words`` words or LENGTH bytes, and those spans."""
     data = (text or "").encode()
     spans = list(zip(np.frombuffer(start, np.uint32).tolist(), np.frombuffer(end, np.uint32).tolist())) if start else []
+    if words:
+        spans = [(a, b) for a, b in spans if b - a >= LENGTH or len(data[a:b].split()) >= words]
     parts, at = [], 0
     for a, b in spans:
         parts.append(data[at:a])
@@ -365,12 +374,15 @@ def _keep(text: str | None, start: bytes | None, end: bytes | None) -> tuple[byt
     return b"".join(parts) + data[at:], spans
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     """The rows and columns of ``docs`` with each text's repeated bytes taken out.
 
+    Repeated are strings of ``length`` bytes that occur more than once; of the spans they make, those
+    of fewer than ``words`` words and LENGTH bytes stay.
+
     Bytes are judged on the input, so every occurrence of a repeated string goes. Parts of a
     character that remain at a cut are dropped. A null text stays null, and a text shorter than
-    LENGTH bytes as it is; an emptied text is the empty string. ``n_chars``, where there is one, is
+    ``length`` bytes as it is; an emptied text is the empty string. ``n_chars``, where there is one, is
     counted anew for changed texts.
     """
     names = docs.columns
@@ -379,24 +391,24 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = {n: batch.column(n) for n in names}
             texts = rows["text"].to_pylist()
-            starts, ends = batch.column("_start").to_pylist(), batch.column("_end").to_pylist()
-            new = [t if s is None else _keep(t, s, e)[0].decode(errors="ignore") for t, s, e in zip(texts, starts, ends)]
+            starts, ends = (batch.column(len(names) + i).to_pylist() for i in (0, 1))
+            new = [t if s is None else _keep(t, s, e, words)[0].decode(errors="ignore") for t, s, e in zip(texts, starts, ends)]
             rows["text"] = pa.array(new, rows["text"].type)
             if "n_chars" in names:
-                counts = [c if s is None else len(t) for c, s, t in zip(rows["n_chars"].to_pylist(), starts, new)]
+                counts = [c if n == t else len(n) for c, t, n in zip(rows["n_chars"].to_pylist(), texts, new)]
                 rows["n_chars"] = pa.array(counts, rows["n_chars"].type)
             yield pa.RecordBatch.from_pydict(rows)
 
-    return with_spans(docs).mapInArrow(run, docs.schema)
+    return with_spans(docs, length=length).mapInArrow(run, docs.schema)
 
 
-def removals(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def removals(docs: DataFrame, hot: int = HOT, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) for every row of (doc_id, text); null is empty."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_keep(*x) for x in zip(*(batch.column(n).to_pylist() for n in ("text", "_start", "_end")))]
+            rows = [_keep(*x) for x in zip(*(c.to_pylist() for c in batch.columns[1:4]))]
             kept = [r[0] for r in rows]
             gone = [sum(b - a for a, b in r[1]) for r in rows]
             yield pa.RecordBatch.from_pydict({
@@ -404,7 +416,7 @@ def removals(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array([len(r[1]) for r in rows], pa.int64()),
                 "kept": pa.array(kept, pa.binary())})
 
-    found = with_spans(docs.select("doc_id", "text"), hot)
+    found = with_spans(docs.select("doc_id", "text"), hot, length)
     return found.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

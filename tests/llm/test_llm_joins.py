@@ -201,6 +201,44 @@ def test_repeats_against_brute_force(spark, hot):
     assert judged(repeats.removals(docs(spark, rows).repartition(5, "doc_id"), hot)) == dict(enumerate(removed(texts)))
 
 
+@pytest.mark.parametrize("length", [200, 250])
+def test_repeats_of_other_lengths(spark, length):
+    rng = random.Random(length)
+    passages = ["".join(rng.choices("abcdé ", k=n)) for n in (length - 1, length, length + 40, 399, 700)]
+    texts = [None, "", "x" * (length - 1), "y" * length, "z" * (length + 1)]
+    for _ in range(40):
+        filler = ["".join(rng.choices("efgh ", k=rng.randrange(0, 200))) for _ in range(3)]
+        texts.append(filler[0] + rng.choice(passages) + filler[1] + rng.choice(passages)[rng.randrange(0, 60) :] + filler[2])
+    for hot in (repeats.HOT, 2):
+        assert judged(repeats.removals(docs(spark, list(enumerate(texts))), hot, length)) == dict(enumerate(removed(texts, length)))
+
+
+def test_passages_by_words(spark):
+    rng = random.Random(9)
+    words = lambda n, least=4: " ".join("".join(rng.choices("abcdefgh", k=least + i % 3)) for i in range(n))
+    long, short, wide, other = words(50), words(44), "".join(rng.choices("漢字仮名", k=140)), words(52, 2)
+    texts = [f"{words(20)} {p} {words(20)}" for p in (long, short, wide, other) for _ in (0, 1)]
+    rows = list(enumerate(texts))
+    clash = spark.createDataFrame([(*r, "mine", 7) for r in rows], "doc_id bigint, text string, _start string, __end int")
+    cut = repeats.without_repeats(clash, 200, 50).orderBy("doc_id").collect()
+    assert {(r["_start"], r["__end"]) for r in cut} == {("mine", 7)}
+    for (i, text), row in zip(rows, cut):
+        passage = [long, short, wide, other][i // 2]
+        gone = len(text) - len(row["text"])
+        # 50 words and 400 bytes go whole, 44 words and short words (less than 200 bytes) stay.
+        assert (gone >= len(passage) and passage not in row["text"]) if i // 2 in (0, 2) else gone == 0 or i // 2 == 3
+    assert len(other.encode()) < 260
+
+
+def test_pipeline_leaves_columns_of_its_own_names(spark):
+    rows = [(i, f"the quick brown fox {i} jumps over it", "en", 7.5, "mine", 0.25, "k", 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score double, lang_pred string, certainty double, _key string, _start int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SMALL)
+        assert out.columns == df.columns
+        assert {tuple(r)[2:] for r in out.collect()} <= {r[2:] for r in rows}
+
+
 def test_repeats_query(spark):
     rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in QUERIES["op8_difference_cover_dedup"](spark, SMALL).collect()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -91,6 +92,16 @@ def test_redaction_keeps_rows_and_other_columns(spark):
     assert [r["n_chars"] for r in rows] == [None, 0, 25, 5] and rows[0]["key"] == "k"
 
 
+@pytest.mark.parametrize(
+    "part", ["http://", "http://.", "a@", "a@b.", "@", "+1", "+1 ", "1", "1.", "4 ", "iban ", "iban 1", "account: 12 ", " street", "12 Oak street ", "Oak ", "mailto:a@b.c"]
+)
+def test_time_follows_length(part):
+    found = pii._automaton()
+    start = time.perf_counter()
+    pii.find_spans(part * (2_000_000 // len(part)), found)
+    assert time.perf_counter() - start < 30
+
+
 def test_pii_query_equals_patterns(spark):
     rows = QUERIES["op1_pii_anchor_expansion"](spark, SMALL).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
@@ -154,6 +165,18 @@ def test_language_edge_cases(spark, model):
     assert language.predict(df.limit(0), model).count() == 0
 
 
+def test_more_languages_than_bits():
+    rng = random.Random(4)
+    letters = [chr(0x0E01 + i) + chr(0x10D0 + i % 30) for i in range(70)]
+    texts = [" ".join("".join(rng.choices(letters[k] + "aeiou", k=4)) for _ in range(30)) + " common words" for k in range(70) for _ in range(3)]
+    langs = [f"l{k:02}" for k in range(70) for _ in range(3)]
+    model = language.train(texts, langs, epochs=2)
+    assert len(model.labels) == 70 and max(model.lexicon.values()) >= 1 << 64
+    marginal, owner = language.word_marginals([language.WORD.findall(t) for t in texts], model, {}, [])
+    right = [model.labels[np.bincount(marginal[owner == i].argmax(axis=1)).argmax()] == lang for i, lang in enumerate(langs)]
+    assert np.mean(right) > 0.9
+
+
 def test_every_letter_of_a_long_run_is_read(spark, model):
     run = "thetion" * 4 + "schkeit" * 400 + "thetion" * 4
     rows = language.predict(docs(spark, run, "thetioning" * 50 + "schkeitund" * 50), model).orderBy("doc_id").collect()

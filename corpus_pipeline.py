@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import language, packing, pii, repeats, sigtree
-from llm.common import small_batches, stored, table
+from llm.common import free_prefix, small_batches, stored, table
 
 #: A document whose words are less certain to be of any language has no language.
 LEAST_CERTAINTY = 0.4
+#: Passages of so many words are repeats; words of fewer than 4 letters with their blank on average are not seen.
+REPEATED_WORDS, REPEATED_BYTES = 50, 200
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +27,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     small_batches(spark)
     model = language.fit(docs.where(~language.held_out()))
-    found = language.predict(docs, model, certainty=True)
-    return found.where(F.col("certainty") >= LEAST_CERTAINTY).select(*docs.columns)
+    prefix = free_prefix(docs.columns)
+    found = language.predict(docs, model, certainty=True, prefix=prefix)
+    return found.where(F.col(f"{prefix}certainty") >= LEAST_CERTAINTY).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +39,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out every byte of strings of 400 bytes that occur more than once. No row is dropped."""
+    """Take out passages of REPEATED_WORDS words or more that occur more than once. No row is dropped."""
     small_batches(spark)
-    return repeats.without_repeats(docs)
+    return repeats.without_repeats(docs, REPEATED_BYTES, REPEATED_WORDS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

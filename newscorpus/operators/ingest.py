@@ -107,7 +107,7 @@ def identify_pages(files: DataFrame, links: DataFrame, html: str = "html") -> Da
     that nothing names (``n_urls`` 0).
     """
     width = F.length("short_key")
-    widths = [r[0] for r in files.select(width).distinct().limit(33).collect() if r[0]]
+    widths = [r[0] for r in files.select(width).where(width.between(1, 32)).distinct().collect()]
     named = links.where(F.coalesce("url", F.lit("")) != "").select(
         F.lower("section_key").alias("_section"), F.col("url").alias("_url"), keys.article_key(F.col("url")).alias("_digest")
     )

@@ -197,6 +197,15 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Elements that pages of plain divs do without.
+BOXES = "article|nav|ul|li|footer"
+
+
+def boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose article, menu and footer are plain divs."""
+    return corpus(spark, sf_dir).withColumn("html", F.regexp_replace("html", rf"(?i)<(/?)(?:{BOXES})(?=[\s>])", "<$1div"))
+
+
 def spanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose paragraphs have their first and last words in spans."""
     first = F.regexp_replace("html", r"(<p>)([^\s<&]+)(\s)", "$1<span>$2</span>$3")

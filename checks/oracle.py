@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from checks.fixtures import RUN_TS, WORDS
+from checks.fixtures import BOXES, RUN_TS, WORDS
 from newscorpus import values
+from newscorpus.functions.density import Weights
 from newscorpus.functions.markup import COMMON_ENTITIES
 
 ORACLES: dict[str, str] = {}
@@ -126,6 +127,52 @@ c AS (
          LEFT JOIN bodies USING (page_id))"""
 
 
+def dense(source: str, text: str, weights: Weights = Weights()) -> str:
+    """CTEs s (all blocks with their worth), r (the best run of each page) and k (its blocks) from ``source``."""
+    linked = rf"""regexp_replace(regexp_replace({main(text)}, '(?i)<a(\s{ATTRS})?>', chr(3), 'g'), '(?i)</a\s*>', chr(4), 'g')"""
+    inside = "CASE WHEN contains(p, chr(4)) THEN split_part(p, chr(4), 1) ELSE split_part(p, chr(1), 1) END"
+    again = rf"regexp_replace({inside}, '(\x01[^\x02]*\x02)', chr(4) || '\1' || chr(3), 'g')"
+    rest = f"replace(substr(p, length({inside}) + 1), chr(4), '')"
+    w = weights
+    return rf"""
+m AS (SELECT page_id, {marked(linked, values.CLEAN_TAGS)} AS t FROM {source}),
+even AS (
+  SELECT page_id, string_split(array_to_string(list_transform(string_split(t, chr(3)), lambda p, i:
+    CASE WHEN i = 1 THEN replace(p, chr(4), '') ELSE chr(3) || {again} || chr(4) || {rest} END), ''), chr(1)) AS parts FROM m),
+piece AS (
+  SELECT page_id, unnest(parts) AS piece, CAST(generate_subscripts(parts, 1) - 1 AS BIGINT) AS pos FROM even),
+named AS (
+  SELECT page_id, pos, lower(split_part(piece, chr(2), 1)) AS name, split_part(piece, chr(2), 2) AS raw FROM piece),
+texts AS (
+  SELECT page_id, pos, name, trim({collapse("translate(raw, chr(3) || chr(4), '')")}) AS text,
+    length(trim({collapse(r"regexp_replace(raw, '\x03[^\x04]*\x04', ' ', 'g')")})) AS n_plain FROM named),
+counts AS (
+  SELECT page_id, pos, CASE WHEN name IN {sql_in(values.CLEAN_TAGS)} THEN name ELSE '' END AS tag, text, length(text) AS n_chars,
+    greatest(length(text) - n_plain, 0) AS link_chars, length(text) - length(translate(text, '{values.SENTENCE_MARKS}', '')) AS n_marks,
+    CAST(CASE WHEN ltrim(name, '/') NOT IN {sql_in(values.CONTAINERS)} THEN 0 WHEN name LIKE '/%' THEN -1 ELSE 1 END AS BIGINT) AS step
+  FROM texts),
+s AS (
+  SELECT *, CASE WHEN text = '' THEN 0 ELSE
+    {w.char} * (n_chars - link_chars) + {w.mark} * n_marks - {w.link} * link_chars - {w.block} END AS score FROM counts),
+deep AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY pos) AS depth FROM s),
+toll AS (
+  SELECT *, {w.level} * coalesce(abs(depth - lag(depth) OVER (PARTITION BY page_id ORDER BY pos)), 0) AS toll FROM deep WHERE text <> ''),
+worth AS (SELECT *, sum(score - toll) OVER (PARTITION BY page_id ORDER BY pos) AS total FROM toll),
+runs AS (
+  SELECT a.page_id, a.pos AS first, b.pos AS last, CAST(b.total - a.total + a.score AS BIGINT) AS run_score
+  FROM worth a JOIN worth b ON a.page_id = b.page_id AND a.pos <= b.pos),
+r AS (
+  SELECT * FROM runs WHERE run_score > 0
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY run_score DESC, last, first DESC) = 1),
+since AS (
+  SELECT r.page_id, coalesce(max(pos) FILTER (tag NOT IN {sql_in(values.CLEAN_HEADINGS)} OR link_chars * 2 > n_chars), -1) AS since
+  FROM r LEFT JOIN worth ON worth.page_id = r.page_id AND pos < first GROUP BY r.page_id),
+k AS (
+  SELECT page_id, pos, tag, text FROM worth JOIN r USING (page_id) JOIN since USING (page_id) WHERE pos > since AND pos <= last)"""
+
+
+BOXED = rf"{P}, boxed AS (SELECT page_id, section_key, regexp_replace(html, '(?i)<(/?)({BOXES})([\s>])', '<\1div\3', 'g') AS html FROM p)"
+
 CLEANED = cleaned(WORDS)
 
 DATES = """dates AS (
@@ -411,6 +458,24 @@ SELECT * FROM t WHERE NOT contains(lower(html), '<html')""",
 )
 oracle("main_content", f"SELECT page_id, {main('html')} AS content FROM pages")
 oracle("decode_entities", f"SELECT page_id, {decode('html')} AS html FROM pages")
+oracle("score_blocks", f"WITH {P},{dense('p', 'html')} SELECT * FROM s")
+oracle(
+    "main_run",
+    f"""WITH {BOXED},{dense('boxed', 'html')}
+SELECT page_id, coalesce(any_value(run_score), 0) AS run_score, count(k.pos) AS n_blocks, min(k.pos) AS first_pos,
+  md5(coalesce(string_agg(tag || ':' || text, chr(10) ORDER BY k.pos), '')) AS digest
+FROM boxed LEFT JOIN r USING (page_id) LEFT JOIN k USING (page_id) GROUP BY page_id""",
+)
+oracle(
+    "extraction_agreement",
+    f"""WITH {BOXED},{dense('boxed', 'html')},{blocks('p', 'page_id', main('html'), values.CLEAN_TAGS)},
+sides AS (
+  SELECT page_id, text, max(run) AS run, max(tags) AS tags FROM (
+    SELECT page_id, text, 1 AS run, 0 AS tags FROM k UNION ALL SELECT page_id, text, 0, 1 FROM n)
+  GROUP BY ALL)
+SELECT section_key, CAST(sum(run) AS BIGINT) AS n_run, CAST(sum(tags) AS BIGINT) AS n_tags, CAST(sum(run * tags) AS BIGINT) AS n_both
+FROM sides JOIN p USING (page_id) GROUP BY section_key""",
+)
 oracle("explode_blocks", f"WITH {PAGE_BLOCKS} SELECT * FROM b")
 oracle("drop_empty_blocks", f"WITH {PAGE_BLOCKS} SELECT * FROM n")
 oracle("drop_blocklisted", f"WITH {PAGE_BLOCKS} SELECT * FROM n WHERE NOT {listed('text', WORDS)}")

@@ -12,6 +12,7 @@ from newscorpus.operators import (
     cleaning,
     compilation,
     discovery,
+    extraction,
     ingest,
     ledger,
     quality,
@@ -288,6 +289,42 @@ def main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.main_content(fx.corpus(spark, sf_dir)).select("page_id", "content")
 
 
+@query
+def score_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length, link text, sentence marks and worth of every block."""
+    return cleaning.explode_blocks(extraction.score_blocks(fx.corpus(spark, sf_dir)), "page_id")
+
+
+@query
+def main_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The densest run of pages whose article, menu and footer are plain divs."""
+    runs = extraction.main_run(fx.boxed(spark, sf_dir))
+    return runs.select(
+        "page_id",
+        "run_score",
+        F.size("blocks").cast("bigint").alias("n_blocks"),
+        F.try_element_at("blocks", F.lit(1))["pos"].alias("first_pos"),
+        F.md5(F.array_join(F.transform("blocks", lambda b: F.concat_ws(":", b["tag"], b["text"])), "\n").cast("binary")).alias("digest"),
+    )
+
+
+@query
+def extraction_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per section, blocks of the article element against those that density finds without it."""
+    runs = cleaning.explode_blocks(extraction.main_run(fx.boxed(spark, sf_dir)), "page_id", "section_key")
+    marked = split(spark, sf_dir)
+    marked = cleaning.explode_blocks(cleaning.drop_empty_blocks(marked), "page_id", "section_key")
+    sides = runs.select("page_id", "section_key", "text", F.lit(1).alias("run"), F.lit(0).alias("tags")).unionAll(
+        marked.select("page_id", "section_key", "text", F.lit(0), F.lit(1))
+    )
+    each = sides.groupBy("section_key", "page_id", "text").agg(F.max("run").alias("run"), F.max("tags").alias("tags"))
+    return each.groupBy("section_key").agg(
+        F.sum("run").cast("bigint").alias("n_run"),
+        F.sum("tags").cast("bigint").alias("n_tags"),
+        F.sum(F.col("run") * F.col("tags")).cast("bigint").alias("n_both"),
+    )
+
+
 @query
 def decode_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fx.corpus(spark, sf_dir).select("page_id", "html")

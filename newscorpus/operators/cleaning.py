@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newscorpus import schemas, values
-from newscorpus.functions import blocks, markup
+from newscorpus.functions import blocks, density, markup
 
 BLOCKS = "blocks"
 
@@ -150,14 +150,25 @@ def clean_corpus(
     html: str = "html",
     words: list[str] | None = None,
     mode: str = "contains",
+    content: str = "tags",
 ) -> DataFrame:
     """Pages to articles in one map-only pass; the HTML column is left behind.
 
+    The content is what the article element holds, else the whole page without its furniture
+    (``tags``), or of that the run of blocks with the densest text (``density``).
+
     ``n_raw`` counts blocks with text, ``n_unwanted`` those dropped by the word list,
     ``n_repeated`` later copies of a text, ``n_blocks`` what the body holds.
     """
     words = values.CLEAN_BLOCKLIST if words is None else words
-    df = mark_blocks(main_content(df, html, "_content"), "_content", values.CLEAN_TAGS)
+    if content not in ("tags", "density"):
+        raise ValueError(f"unknown content {content!r}")
+    dense = content == "density"
+    if dense:
+        df = df.withColumn("_content", density.mark_links(markup.article_or_all(markup.drop_elements(F.col(html)))))
+        df = mark_blocks(df, "_content", values.CLEAN_TAGS)
+    else:
+        df = mark_blocks(main_content(df, html, "_content"), "_content", values.CLEAN_TAGS)
 
     def cleaned(kept: Column) -> Column:
         return blocks.simplified(blocks.first_copies(kept), values.CLEAN_HEADINGS)
@@ -173,7 +184,12 @@ def clean_corpus(
             ),
         )
 
-    cut = blocks.cut(markup.collapse(F.col("_marked")), values.CLEAN_TAGS)
+    marked = markup.collapse(F.col("_marked"))
+    if dense:
+        scored = density.scored(density.balance_links(marked), values.CLEAN_TAGS)
+        cut = density.densest(scored, values.CLEAN_HEADINGS)
+    else:
+        cut = blocks.cut(marked, values.CLEAN_TAGS)
     # A generator, since later filters on these columns do not pass one. They would pass a
     # projection, taking along a copy of the whole expression to be computed twice.
     df = df.select(

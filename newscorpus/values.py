@@ -50,6 +50,15 @@ BLOCK_LEVEL = [
     "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul",
 ]
 
+# Block-level elements that others lie in and whose closing tag may not be left out.
+CONTAINERS = [
+    "article", "aside", "blockquote", "body", "div", "dl", "figure", "footer", "form", "header",
+    "main", "nav", "ol", "section", "table", "ul",
+]
+
+# Marks that end sentences and clauses, in several scripts.
+SENTENCE_MARKS = ".!?;:,…।॥。、，！？；："
+
 # Elements that never hold article text.
 DROP_TAGS = ["script", "style", "nav", "footer", "head"]
 

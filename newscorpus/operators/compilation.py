@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newscorpus import values
 from newscorpus.functions import keys
+from newscorpus.operators.keyed import null_safe
 from newscorpus.operators.ordering import with_positions
 from newscorpus.operators.sections import normalize_section
 
@@ -52,7 +53,33 @@ def compile_monthly(
 
     Takes article rows without their bodies: these stay where they are until a part is written.
     """
-    dated = publication_month(with_rank(articles, links), published, fetched)
+    return place_members(publication_month(with_rank(articles, links), published, fetched), fetched)
+
+
+def group_sums(members: DataFrame, *content: str, fetched: str = "fetched_at") -> DataFrame:
+    """Size, dates and a digest of each (section, month): equal for equal members in equal order.
+
+    ``content`` are further columns that the digest covers. Sums combine on the map side.
+    """
+    marks = F.xxhash64("article_key", "rank", fetched, "published_at", "n_blocks", "n_bytes", *content)
+    return members.groupBy(*GROUP).agg(
+        F.count("*").alias("n"),
+        F.sum("n_bytes").alias("size"),
+        F.min("published_at").alias("first"),
+        F.max("published_at").alias("last"),
+        F.sum(marks.cast("decimal(20,0)")).cast("string").alias("digest"),
+    )
+
+
+def changed_groups(now: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changed, gone): groups that are new or have another digest, and those that are no more."""
+    old = before.select(*GROUP, F.struct("n", "digest").alias("_old"))
+    changed = null_safe(now, old, GROUP, "left").where(~F.col("_old").eqNullSafe(F.struct("n", "digest"))).select(now.columns)
+    return changed, null_safe(before.select(*GROUP), now.select(*GROUP), GROUP, "left_anti")
+
+
+def place_members(dated: DataFrame, fetched: str = "fetched_at") -> DataFrame:
+    """Rows with month and rank, placed in their (section, month)."""
     return with_positions(
         dated,
         GROUP,
@@ -104,6 +131,11 @@ def archive_manifest(
         F.min("published_at").alias("first"),
         F.max("published_at").alias("last"),
     )
+    return manifest_of(months, sections, prefix)
+
+
+def manifest_of(months: DataFrame, sections: DataFrame, prefix: str = values.OUTPUT_PREFIX) -> DataFrame:
+    """The manifest from one row per (section, month), as ``group_sums`` gives them."""
     totals = months.rollup(*GROUP).agg(
         F.sum("n").cast("bigint").alias("n_articles"),
         F.sum("size").cast("bigint").alias("n_bytes"),

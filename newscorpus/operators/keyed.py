@@ -23,6 +23,13 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     )
 
 
+def null_safe(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join in which a null key meets a null key; the columns of ``df``, then the others of ``other``."""
+    own = {k: f"_key_{k}" for k in keys}
+    same = [F.col(k).eqNullSafe(F.col(own[k])) for k in keys]
+    return df.join(other.withColumnsRenamed(own), same, how).drop(*own.values())
+
+
 # More repeated keys than this are joined by shuffle, not broadcast.
 MAX_BROADCAST_KEYS = 100_000
 

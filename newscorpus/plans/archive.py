@@ -2,32 +2,48 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from newscorpus import values
 from newscorpus.functions import keys
 from newscorpus.operators import articles as records
 from newscorpus.operators import cleaning, compilation, discovery, ingest, ledger
-from newscorpus.operators.keyed import broadcast_if_few, first_per_key, one_copy
+from newscorpus.operators.compilation import GROUP, KEY
+from newscorpus.operators.keyed import broadcast_if_few, first_per_key, null_safe, one_copy
+from newscorpus.schemas import MANIFEST
 from newscorpus.session import shared_dir
+from newscorpus.sources.runlog import RunLog, Version
 from newscorpus.sources.tables import write_manifest
-from newscorpus.sources.versions import next_run, read_latest, read_merged, write_run
+from newscorpus.sources.versions import SECTION, merge_versions, read_latest, read_merged, write_run
 
-KEY = ["section_key", "article_key"]
+
+#: Tables whose runs add up, by key, and those of which a unit's last run counts.
+MERGED = {"articles": KEY, "times": KEY}
+LATEST = {
+    "links": SECTION, "pending": SECTION, "rejects": SECTION,
+    "groups": GROUP, "compiled": GROUP, "parts": GROUP, "covers": GROUP,
+}
+DIGEST = "_digest"
 
 
 @dataclass
 class Archive:
     """What a run leaves behind, each a table below ``out_dir``: of all runs ``articles`` (rejects
     left out), ``compiled``, ``manifest``, ``covers``, ``parts`` and ``ledger``; of the sections of
-    this run ``links``, ``pending`` and ``rejects``."""
+    this run ``links``, ``pending`` and ``rejects``. ``articles`` of all runs are put together when
+    they are asked for. ``run`` is the run's number."""
 
+    run: int
     links: DataFrame
     pending: DataFrame
-    articles: DataFrame
+    read_articles: Callable[[], DataFrame]
     rejects: DataFrame
     compiled: DataFrame
     parts: DataFrame
@@ -35,6 +51,10 @@ class Archive:
     covers: DataFrame
     ledger: DataFrame
 
+    @cached_property
+    def articles(self) -> DataFrame:
+        return self.read_articles()
+
 
 def lowered(df: DataFrame) -> DataFrame:
     return df.withColumn("section_key", F.lower("section_key"))
@@ -93,8 +113,12 @@ def run_archive(
 
     Pages are added to what earlier runs stored, and replace articles of the same key. An article's
     month follows its own date, else that of ``fetches``, else the time of fetching. Sections that
-    this run does not work on stay as they are; those it does work on are compiled anew, and a
-    compilation of which nothing is left goes.
+    this run does not work on stay as they are. Of those it works on, the months whose members,
+    their order or their texts have changed are compiled anew; a compilation of which nothing is left
+    goes, and the others stay as they were stored, with the covers they have.
+
+    Nothing counts before the run's commit. Where another run committed first, all that depends on
+    what is stored is made again on top of it, so runs at the same time lose nothing.
 
     HTML is never shuffled: which copy of a page counts is decided on keys, cleaning is map-only,
     and only cleaned rows are joined and written. Bodies are left out of ranking.
@@ -114,57 +138,111 @@ def run_archive(
         used = used.select("section_key", "page_no").distinct().checkpoint()
         listings = listings.join(broadcast_if_few(used), ["section_key", "page_no"], "left_semi")
     pages = restricted(pages)
-    run = next_run(spark, f"{out_dir}/articles")
+    log = RunLog(spark, out_dir)
+    started, run = log.state(), log.claim()
+    schemas: dict[str, str] = {}
 
-    def versioned(df: DataFrame, name: str) -> DataFrame:
-        """Written as a version of this run, and read back with what other sections have."""
-        write_run(df, chosen, f"{out_dir}/{name}", run)
-        return read_latest(spark, f"{out_dir}/{name}", df.schema)
+    def write(df: DataFrame, name: str, worked: DataFrame = chosen) -> StructType:
+        write_run(df, worked, f"{out_dir}/{name}", run, LATEST.get(name, SECTION))
+        schemas[name] = df.schema.json()
+        return df.schema
 
-    links = restricted(versioned(discover(restricted(listings), run_ts, max_pages, outer), "links"))
+    # What the run brings, whatever other runs do meanwhile.
+    links_schema = write(discover(restricted(listings), run_ts, max_pages, outer), "links")
+    links = read_latest(spark, f"{out_dir}/links", links_schema, [Version(0, run)])
     ranked = links.withColumn("article_key", keys.article_key(F.col("url")))
-
     cleaned = one_copy(records.article_records(pages, months=months), KEY, row_id, ids=pages)
-    write_run(cleaned, chosen, f"{out_dir}/articles", run)
-    every = read_merged(spark, f"{out_dir}/articles", cleaned.schema, KEY)
-    stored, failed = cleaning.cleaning_rejects(every)
-    pending = versioned(ingest.pending_articles(links, every), "pending")
-    rejects = versioned(restricted(failed).drop("body"), "rejects")
-
+    article_schema = write(cleaned.withColumn(DIGEST, F.xxhash64(*cleaned.columns)), "articles")
     # Times are kept as well: those of pages that earlier runs brought are still needed.
-    times = first_per_key(fetches, KEY, ["fetched_at"])
-    write_run(restricted(times), chosen, f"{out_dir}/times", run)
-    times = read_merged(spark, f"{out_dir}/times", times.schema, KEY)
-    times = times.withColumnRenamed("published_at", "_published")
-    dated = (
-        compilation.skip_unreadable(restricted(stored))
-        .drop("body")
-        .join(times, KEY, "left")
-        .withColumn("published_at", F.coalesce("published_at", F.col("_published").cast("timestamp_ntz")))
-        .drop("_published")
-    )
-    compiled = versioned(compilation.compile_monthly(dated, ranked), "compiled")
-    anew = restricted(compiled)
-    parts = versioned(compilation.compile_body(anew, restricted(stored), part_bytes), "parts")
-    covers = versioned(compilation.cover_rows(anew, sections, run_ts, values.ARCHIVE_TITLE), "covers")
-
-    manifest = compilation.archive_manifest(compiled, sections)
-    write_manifest(manifest, f"{out_dir}/manifest")
-    state = next_ledger(links, chosen, previous, run_ts)
-    state.write.mode("overwrite").parquet(f"{out_dir}/ledger/run={run}")
+    time_schema = write(restricted(first_per_key(fetches, KEY, ["fetched_at"])), "times")
+
+    # What follows from it and from all that is committed; made again if another run was faster.
+    while True:
+        state = log.state()
+        versions = [*state.versions, Version(state.size + 1, run)]
+
+        def latest(name: str, schema: StructType, of: list[Version] = versions) -> DataFrame:
+            return read_latest(spark, f"{out_dir}/{name}", schema, of, LATEST[name])
+
+        every = read_merged(spark, f"{out_dir}/articles", article_schema, KEY, versions, few)
+        stored, failed = cleaning.cleaning_rejects(every)
+        pending_schema = write(ingest.pending_articles(links, every), "pending")
+        reject_schema = write(failed.drop("body", DIGEST), "rejects")
+        times = read_merged(spark, f"{out_dir}/times", time_schema, KEY, versions, few)
+        dated = (
+            compilation.skip_unreadable(stored)
+            .drop("body")
+            .join(times.withColumnRenamed("published_at", "_published"), KEY, "left")
+            .withColumn("published_at", F.coalesce("published_at", F.col("_published").cast("timestamp_ntz")))
+            .drop("_published")
+        )
+        members = compilation.publication_month(compilation.with_rank(dated, ranked)).checkpoint()
+        groups = compilation.group_sums(members, DIGEST)
+        before = restricted(latest("groups", groups.schema, list(state.versions)))
+        changed, gone = compilation.changed_groups(groups, before)
+        changed = changed.checkpoint()
+        worked = changed.select(*GROUP).unionAll(gone).checkpoint()
+        anew = broadcast_if_few(changed.select(*GROUP))
+        group_schema = write(changed, "groups", worked)
+        placed = compilation.place_members(null_safe(members.drop(DIGEST), anew, GROUP, "left_semi"))
+        compiled_schema = write(placed, "compiled", worked)
+        own = read_latest(spark, f"{out_dir}/compiled", compiled_schema, versions[-1:], GROUP)
+        part_schema = write(compilation.compile_body(own, stored, part_bytes), "parts", worked)
+        cover_schema = write(compilation.cover_rows(own, sections, run_ts, values.ARCHIVE_TITLE), "covers", worked)
+
+        manifest = compilation.manifest_of(latest("groups", group_schema), sections)
+        write_manifest(manifest, f"{out_dir}/manifest/run={run}")
+        ledger_rows = next_ledger(links, chosen, previous, run_ts)
+        if state.size > started.size:  # what runs that committed meanwhile have completed
+            theirs = spark.read.schema(ledger_rows.schema).parquet(f"{out_dir}/ledger/run={state.last}")
+            ledger_rows = ledger.update_ledger(theirs, ledger_rows)
+        ledger_rows.write.mode("overwrite").parquet(f"{out_dir}/ledger/run={run}")
+        if log.commit_run(state, run, schemas):
+            break
+
+    def articles() -> DataFrame:
+        merged = read_merged(spark, f"{out_dir}/articles", article_schema, KEY, versions)
+        return cleaning.cleaning_rejects(merged)[0].drop(DIGEST)
+
     return Archive(
+        run=run,
         links=links,
-        pending=restricted(pending),
-        articles=stored,
-        rejects=restricted(rejects),
-        compiled=compiled,
-        parts=parts,
+        pending=restricted(latest("pending", pending_schema)),
+        read_articles=articles,
+        rejects=restricted(latest("rejects", reject_schema)),
+        compiled=latest("compiled", compiled_schema),
+        parts=latest("parts", part_schema),
         manifest=manifest,
-        covers=covers,
-        ledger=spark.read.schema(state.schema).parquet(f"{out_dir}/ledger/run={run}"),
+        covers=latest("covers", cover_schema),
+        ledger=spark.read.schema(ledger_rows.schema).parquet(f"{out_dir}/ledger/run={run}"),
     )
 
 
+def compact_archive(spark: SparkSession, out_dir: str, fan: int = 4) -> list[int]:
+    """Merge the versions that runs have left, see ``merge_versions``; runs and readers may go on."""
+    return merge_versions(spark, out_dir, MERGED, LATEST, fan)
+
+
+def read_archive(spark: SparkSession, out_dir: str, name: str, size: int | None = None) -> DataFrame:
+    """A table of the committed archive, now or as it was after its first ``size`` commits.
+
+    ``name`` is one of MERGED or LATEST. Keys are strings.
+    """
+    state = RunLog(spark, out_dir).state(size)
+    if name not in state.schemas:
+        raise ValueError(f"no table {name!r} in {out_dir}")
+    schema = StructType.fromJson(json.loads(state.schemas[name]))
+    if name in MERGED:
+        return read_merged(spark, f"{out_dir}/{name}", schema, MERGED[name], state.versions).drop(DIGEST)
+    return read_latest(spark, f"{out_dir}/{name}", schema, state.versions, LATEST[name])
+
+
+def read_manifest(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The manifest of the last committed run."""
+    run = RunLog(spark, out_dir).state().last
+    return spark.read.schema(MANIFEST).option("header", True).csv(f"{out_dir}/manifest/run={run}")
+
+
 def next_ledger(
     links: DataFrame, sections: DataFrame, previous: DataFrame | None, run_ts: str
 ) -> DataFrame:

@@ -1,36 +1,34 @@
 """Tables that grow by runs: each run writes a version of its own, readers see the current rows.
 
-Below a table's path, ``rows/run=N/section_key=S`` has what run N wrote, ``sections/run=N`` the
-sections it worked on. The latter is written last, so a run that died leaves nothing to be seen, and
-a section of which a later run found nothing shows nothing. Keys are read as strings, whatever they
-look like.
+Below a table's path, ``rows/run=N/section_key=S`` has what run N wrote, ``worked/run=N`` the units
+(sections, or section and month) it worked on: a unit of which a later run found nothing shows
+nothing. Which versions count is for the log to say (``runlog``). Keys are read as strings, whatever
+they look like.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
-
-from newscorpus.operators.keyed import broadcast_if_few, one_copy
-from newscorpus.sources.tables import read_if_exists
+import json
+from collections.abc import Iterable
 
-WORKED = "section_key string, run bigint"
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from newscorpus.operators.keyed import broadcast_if_few, null_safe, one_copy
+from newscorpus.sources import files
+from newscorpus.sources.runlog import RunLog, State, Version
 
-def next_run(spark: SparkSession, path: str) -> int:
-    """A number that no run has written under yet, finished or not."""
-    written = read_if_exists(spark, f"{path}/rows", "run bigint").select("run").unionAll(
-        read_if_exists(spark, f"{path}/sections", WORKED).select("run")
-    )
-    return (written.agg(F.max("run")).first()[0] or 0) + 1
+SECTION = ["section_key"]
 
 
-def write_run(df: DataFrame, worked: DataFrame, path: str, run: int) -> None:
-    """Store the rows of a run, then the sections it worked on.
+def write_run(df: DataFrame, worked: DataFrame, path: str, run: int, unit: list[str] = SECTION) -> None:
+    """Store the rows of a run and the units it worked on, in place of what it stored before.
 
     Rebalancing gathers small pieces of a section and splits one too large for a task.
     """
+    spark = df.sparkSession
+    files.remove(spark, f"{path}/rows/run={run}")
     (
         df.withColumn("run", F.lit(run).cast("bigint"))
         .hint("rebalance", F.col("section_key"))
@@ -39,24 +37,114 @@ def write_run(df: DataFrame, worked: DataFrame, path: str, run: int) -> None:
         .mode("overwrite")
         .parquet(f"{path}/rows")
     )
-    worked.select("section_key").distinct().write.mode("overwrite").parquet(f"{path}/sections/run={run}")
-
-
-def _rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    fields = [f for f in schema.fields if f.name != "run"]
-    return read_if_exists(spark, f"{path}/rows", StructType([*fields, StructField("run", LongType())]))
-
-
-def read_latest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Of each section the rows of the last run that worked on it."""
-    worked = read_if_exists(spark, f"{path}/sections", WORKED).groupBy("section_key").agg(F.max("run").alias("run"))
-    rows = _rows(spark, path, schema).join(broadcast_if_few(worked), ["section_key", "run"], "left_semi")
-    return rows.select(*[f.name for f in schema.fields])
-
-
-def read_merged(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
-    """Rows of all finished runs, of rows with equal keys that of the last run."""
-    finished = read_if_exists(spark, f"{path}/sections", WORKED).select("run").distinct()
-    rows = _rows(spark, path, schema).join(broadcast_if_few(finished), "run", "left_semi")
-    newest = one_copy(rows.withColumn("_age", -F.col("run")), keys, "_age")
-    return newest.select(*[f.name for f in schema.fields])
+    worked.select(*unit).distinct().write.mode("overwrite").parquet(f"{path}/worked/run={run}")
+
+
+def _read(spark: SparkSession, path: str, fields: list[StructField], versions: Iterable[Version]) -> DataFrame:
+    """Rows of these versions with ``run``."""
+    schema = StructType([f for f in fields if f.name != "run"] + [StructField("run", LongType())])
+    paths = [p for v in versions if files.exists(spark, p := f"{path}/run={v.run}")]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*paths)
+
+
+def _order(versions: Iterable[Version]) -> Column:
+    """The order of a row's version; a literal per version that counts, which merging keeps few."""
+    pairs = [F.lit(x).cast("long") for v in versions for x in (v.run, v.order)]
+    return F.element_at(F.create_map(*pairs), F.col("run")) if pairs else F.lit(0).cast("long")
+
+
+def worked_units(spark: SparkSession, path: str, versions: Iterable[Version], unit: list[str] = SECTION) -> DataFrame:
+    """For each unit the last version that worked on it: unit, run."""
+    versions = list(versions)
+    found = _read(spark, f"{path}/worked", [StructField(c, StringType()) for c in unit], versions)
+    last = F.max(F.struct(_order(versions).alias("order"), "run"))
+    return found.groupBy(*unit).agg(last.alias("_last")).select(*unit, F.col("_last.run").alias("run"))
+
+
+def read_latest(
+    spark: SparkSession, path: str, schema: StructType, versions: Iterable[Version], unit: list[str] = SECTION
+) -> DataFrame:
+    """Of each unit the rows of the last version that worked on it."""
+    versions = list(versions)
+    worked = worked_units(spark, path, versions, unit)
+    rows = _read(spark, f"{path}/rows", schema.fields, versions)
+    return null_safe(rows, broadcast_if_few(worked), [*unit, "run"], "left_semi").select(*schema.names)
+
+
+def read_merged(
+    spark: SparkSession, path: str, schema: StructType, keys: list[str], versions: Iterable[Version], within: DataFrame | None = None
+) -> DataFrame:
+    """Rows of all versions, of rows with equal keys that of the last; ``within`` names the sections."""
+    versions = list(versions)
+    rows = _read(spark, f"{path}/rows", schema.fields, versions)
+    if within is not None:
+        rows = rows.join(within, "section_key", "left_semi")
+    return one_copy(rows.withColumn("_age", -_order(versions)), keys, "_age").select(*schema.names)
+
+
+def merge_versions(
+    spark: SparkSession, path: str, merged: dict[str, list[str]], latest: dict[str, list[str]], fan: int = 4
+) -> list[int]:
+    """Merge versions level by level until fewer than ``fan`` neighbours of a level are left.
+
+    ``merged`` names the tables whose rows add up, with their keys; ``latest`` those of which a unit's
+    last version counts, with their units. Superseded rows are not written again; rows are written
+    once per level, so the cost of a run is a logarithm of the number of runs. Runs and readers go on
+    meanwhile: old versions stay until ``drop_old``. Returns the numbers of the merges.
+    """
+    log = RunLog(spark, path)
+    done: list[int] = []
+    while (covers := _mergeable(log.state(), fan)) is not None:
+        state, run = log.state(), log.claim()
+        for name, text in state.schemas.items():
+            schema = StructType.fromJson(json.loads(text))
+            unit = latest.get(name, SECTION)
+            if name in merged:
+                rows = read_merged(spark, f"{path}/{name}", schema, merged[name], covers)
+            else:
+                rows = read_latest(spark, f"{path}/{name}", schema, covers, unit)
+            write_run(rows, worked_units(spark, f"{path}/{name}", covers, unit), f"{path}/{name}", run, unit)
+        if not log.commit_merge(covers, run):
+            break  # another merge was faster; what this one wrote goes with ``drop_old``
+        done.append(run)
+    return done
+
+
+def _mergeable(state: State, fan: int) -> tuple[Version, ...] | None:
+    """The first neighbours of one level that are ``fan`` or more."""
+    held: list[Version] = []
+    for version in [*sorted(state.versions), None]:
+        if version is not None and (not held or version.level == held[0].level):
+            held.append(version)
+            continue
+        if len(held) >= fan:
+            return tuple(held[:fan])
+        held = [version] if version else []
+    return None
+
+
+def drop_old(spark: SparkSession, path: str, now_ms: int, keep_ms: int = 24 * 3600 * 1000) -> list[int]:
+    """Delete what does not count any more: versions merged, and runs begun and never committed, both
+    at least ``keep_ms`` before ``now_ms`` (by the claim of the merge, or of the run).
+
+    Readers and runs that began after that keep their files. Returns the runs deleted.
+    """
+    log = RunLog(spark, path)
+    state = log.state()
+    claims = {int(n): at for n, at in files.listed(spark, f"{log.path}/claims").items() if n.isdigit()}
+    merged_at: dict[int, int] = {}
+    for name in files.listed(spark, log.path):
+        if name.endswith(".json") and '"merge"' in (text := files.read_text(spark, f"{log.path}/{name}")):
+            entry = json.loads(text)
+            merged_at |= {r: claims.get(entry["run"], 0) for r in entry["covers"]}
+    old = [run for run, at in sorted(claims.items()) if run not in state.runs() and now_ms - merged_at.get(run, at) >= keep_ms]
+    for run in old:
+        for name in state.schemas:
+            files.remove(spark, f"{path}/{name}/rows/run={run}")
+            files.remove(spark, f"{path}/{name}/worked/run={run}")
+        if run != state.last:
+            for name in ("manifest", "ledger"):
+                files.remove(spark, f"{path}/{name}/run={run}")
+    return old

@@ -21,7 +21,7 @@ from newscorpus.schemas import MANIFEST
 from newscorpus.session import shared_dir
 from newscorpus.sources.runlog import RunLog, Version
 from newscorpus.sources.tables import write_manifest
-from newscorpus.sources.versions import SECTION, merge_versions, read_latest, read_merged, write_run
+from newscorpus.sources.versions import SECTION, merge_versions, read_latest, read_merged, write_run, write_worked
 
 
 #: Tables whose runs add up, by key, and those of which a unit's last run counts.
@@ -142,14 +142,15 @@ def run_archive(
     started, run = log.state(), log.claim()
     schemas: dict[str, str] = {}
 
-    def write(df: DataFrame, name: str, worked: DataFrame = chosen) -> StructType:
-        write_run(df, worked, f"{out_dir}/{name}", run, LATEST.get(name, SECTION))
+    def write(df: DataFrame, name: str) -> StructType:
+        write_run(df, out_dir, name, run)
         schemas[name] = df.schema.json()
         return df.schema
 
+    write_worked(chosen, out_dir, run)
     # What the run brings, whatever other runs do meanwhile.
     links_schema = write(discover(restricted(listings), run_ts, max_pages, outer), "links")
-    links = read_latest(spark, f"{out_dir}/links", links_schema, [Version(0, run)])
+    links = read_latest(spark, out_dir, "links", links_schema, [Version(0, run)])
     ranked = links.withColumn("article_key", keys.article_key(F.col("url")))
     cleaned = one_copy(records.article_records(pages, months=months), KEY, row_id, ids=pages)
     article_schema = write(cleaned.withColumn(DIGEST, F.xxhash64(*cleaned.columns)), "articles")
@@ -162,13 +163,13 @@ def run_archive(
         versions = [*state.versions, Version(state.size + 1, run)]
 
         def latest(name: str, schema: StructType, of: list[Version] = versions) -> DataFrame:
-            return read_latest(spark, f"{out_dir}/{name}", schema, of, LATEST[name])
+            return read_latest(spark, out_dir, name, schema, of, LATEST[name])
 
-        every = read_merged(spark, f"{out_dir}/articles", article_schema, KEY, versions, few)
+        every = read_merged(spark, out_dir, "articles", article_schema, KEY, versions, few)
         stored, failed = cleaning.cleaning_rejects(every)
         pending_schema = write(ingest.pending_articles(links, every), "pending")
         reject_schema = write(failed.drop("body", DIGEST), "rejects")
-        times = read_merged(spark, f"{out_dir}/times", time_schema, KEY, versions, few)
+        times = read_merged(spark, out_dir, "times", time_schema, KEY, versions, few)
         dated = (
             compilation.skip_unreadable(stored)
             .drop("body")
@@ -181,14 +182,14 @@ def run_archive(
         before = restricted(latest("groups", groups.schema, list(state.versions)))
         changed, gone = compilation.changed_groups(groups, before)
         changed = changed.checkpoint()
-        worked = changed.select(*GROUP).unionAll(gone).checkpoint()
+        write_worked(changed.select(*GROUP).unionAll(gone), out_dir, run, GROUP)
         anew = broadcast_if_few(changed.select(*GROUP))
-        group_schema = write(changed, "groups", worked)
+        group_schema = write(changed, "groups")
         placed = compilation.place_members(null_safe(members.drop(DIGEST), anew, GROUP, "left_semi"))
-        compiled_schema = write(placed, "compiled", worked)
-        own = read_latest(spark, f"{out_dir}/compiled", compiled_schema, versions[-1:], GROUP)
-        part_schema = write(compilation.compile_body(own, stored, part_bytes), "parts", worked)
-        cover_schema = write(compilation.cover_rows(own, sections, run_ts, values.ARCHIVE_TITLE), "covers", worked)
+        compiled_schema = write(placed, "compiled")
+        own = read_latest(spark, out_dir, "compiled", compiled_schema, versions[-1:], GROUP)
+        part_schema = write(compilation.compile_body(own, stored, part_bytes), "parts")
+        cover_schema = write(compilation.cover_rows(own, sections, run_ts, values.ARCHIVE_TITLE), "covers")
 
         manifest = compilation.manifest_of(latest("groups", group_schema), sections)
         write_manifest(manifest, f"{out_dir}/manifest/run={run}")
@@ -201,7 +202,7 @@ def run_archive(
             break
 
     def articles() -> DataFrame:
-        merged = read_merged(spark, f"{out_dir}/articles", article_schema, KEY, versions)
+        merged = read_merged(spark, out_dir, "articles", article_schema, KEY, versions)
         return cleaning.cleaning_rejects(merged)[0].drop(DIGEST)
 
     return Archive(
@@ -233,8 +234,8 @@ def read_archive(spark: SparkSession, out_dir: str, name: str, size: int | None
         raise ValueError(f"no table {name!r} in {out_dir}")
     schema = StructType.fromJson(json.loads(state.schemas[name]))
     if name in MERGED:
-        return read_merged(spark, f"{out_dir}/{name}", schema, MERGED[name], state.versions).drop(DIGEST)
-    return read_latest(spark, f"{out_dir}/{name}", schema, state.versions, LATEST[name])
+        return read_merged(spark, out_dir, name, schema, MERGED[name], state.versions).drop(DIGEST)
+    return read_latest(spark, out_dir, name, schema, state.versions, LATEST[name])
 
 
 def read_manifest(spark: SparkSession, out_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Tables that grow by runs: each run writes a version of its own, readers see the current rows.
 
-Below a table's path, ``rows/run=N/section_key=S`` has what run N wrote, ``worked/run=N`` the units
-(sections, or section and month) it worked on: a unit of which a later run found nothing shows
-nothing. Which versions count is for the log to say (``runlog``). Keys are read as strings, whatever
-they look like.
+Below the archive's path, ``T/run=N/section_key=S`` has what run N wrote to table T, and
+``_worked/U/run=N`` the units U (sections, or section and month) it worked on: a unit of which a later
+run found nothing shows nothing. Which versions count is for the log to say (``runlog``). Keys are
+read as strings, whatever they look like.
 """
 
 from __future__ import annotations
@@ -22,22 +22,24 @@ from newscorpus.sources.runlog import RunLog, State, Version
 SECTION = ["section_key"]
 
 
-def write_run(df: DataFrame, worked: DataFrame, path: str, run: int, unit: list[str] = SECTION) -> None:
-    """Store the rows of a run and the units it worked on, in place of what it stored before.
+def write_run(df: DataFrame, path: str, name: str, run: int) -> None:
+    """Store the rows of a run, in place of what it stored in this table before.
 
     Rebalancing gathers small pieces of a section and splits one too large for a task.
     """
     spark = df.sparkSession
-    files.remove(spark, f"{path}/rows/run={run}")
-    (
-        df.withColumn("run", F.lit(run).cast("bigint"))
-        .hint("rebalance", F.col("section_key"))
-        .write.partitionBy("run", "section_key")
-        .option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .parquet(f"{path}/rows")
-    )
-    worked.select(*unit).distinct().write.mode("overwrite").parquet(f"{path}/worked/run={run}")
+    files.remove(spark, f"{path}/{name}/run={run}")
+    rows = df.hint("rebalance", F.col("section_key"))
+    rows.write.partitionBy("section_key").parquet(f"{path}/{name}/run={run}")
+
+
+def _units(path: str, unit: list[str]) -> str:
+    return f"{path}/_worked/{'-'.join(unit)}"
+
+
+def write_worked(units: DataFrame, path: str, run: int, unit: list[str] = SECTION) -> None:
+    """Store the units that a run worked on."""
+    units.select(*unit).distinct().coalesce(1).write.mode("overwrite").parquet(f"{_units(path, unit)}/run={run}")
 
 
 def _read(spark: SparkSession, path: str, fields: list[StructField], versions: Iterable[Version]) -> DataFrame:
@@ -58,29 +60,37 @@ def _order(versions: Iterable[Version]) -> Column:
 def worked_units(spark: SparkSession, path: str, versions: Iterable[Version], unit: list[str] = SECTION) -> DataFrame:
     """For each unit the last version that worked on it: unit, run."""
     versions = list(versions)
-    found = _read(spark, f"{path}/worked", [StructField(c, StringType()) for c in unit], versions)
+    found = _read(spark, _units(path, unit), [StructField(c, StringType()) for c in unit], versions)
     last = F.max(F.struct(_order(versions).alias("order"), "run"))
     return found.groupBy(*unit).agg(last.alias("_last")).select(*unit, F.col("_last.run").alias("run"))
 
 
 def read_latest(
-    spark: SparkSession, path: str, schema: StructType, versions: Iterable[Version], unit: list[str] = SECTION
+    spark: SparkSession, path: str, name: str, schema: StructType, versions: Iterable[Version], unit: list[str] = SECTION
 ) -> DataFrame:
     """Of each unit the rows of the last version that worked on it."""
     versions = list(versions)
+    rows = _read(spark, f"{path}/{name}", schema.fields, versions)
+    if len(versions) < 2:
+        return rows.select(*schema.names)
     worked = worked_units(spark, path, versions, unit)
-    rows = _read(spark, f"{path}/rows", schema.fields, versions)
     return null_safe(rows, broadcast_if_few(worked), [*unit, "run"], "left_semi").select(*schema.names)
 
 
 def read_merged(
-    spark: SparkSession, path: str, schema: StructType, keys: list[str], versions: Iterable[Version], within: DataFrame | None = None
-) -> DataFrame:
-    """Rows of all versions, of rows with equal keys that of the last; ``within`` names the sections."""
+    spark: SparkSession, path: str, name: str, schema: StructType, keys: list[str], versions: Iterable[Version],
+    within: DataFrame | None = None,
+) -> DataFrame:
+    """Rows of all versions, of rows with equal keys that of the last; ``within`` names the sections.
+
+    A version has each key once.
+    """
     versions = list(versions)
-    rows = _read(spark, f"{path}/rows", schema.fields, versions)
+    rows = _read(spark, f"{path}/{name}", schema.fields, versions)
     if within is not None:
         rows = rows.join(within, "section_key", "left_semi")
+    if len(versions) < 2:
+        return rows.select(*schema.names)
     return one_copy(rows.withColumn("_age", -_order(versions)), keys, "_age").select(*schema.names)
 
 
@@ -100,12 +110,13 @@ def merge_versions(
         state, run = log.state(), log.claim()
         for name, text in state.schemas.items():
             schema = StructType.fromJson(json.loads(text))
-            unit = latest.get(name, SECTION)
             if name in merged:
-                rows = read_merged(spark, f"{path}/{name}", schema, merged[name], covers)
+                rows = read_merged(spark, path, name, schema, merged[name], covers)
             else:
-                rows = read_latest(spark, f"{path}/{name}", schema, covers, unit)
-            write_run(rows, worked_units(spark, f"{path}/{name}", covers, unit), f"{path}/{name}", run, unit)
+                rows = read_latest(spark, path, name, schema, covers, latest[name])
+            write_run(rows, path, name, run)
+        for unit in ([*u] for u in {tuple(u) for u in latest.values()}):
+            write_worked(worked_units(spark, path, covers, unit), path, run, unit)
         if not log.commit_merge(covers, run):
             break  # another merge was faster; what this one wrote goes with ``drop_old``
         done.append(run)
@@ -141,10 +152,8 @@ def drop_old(spark: SparkSession, path: str, now_ms: int, keep_ms: int = 24 * 36
             merged_at |= {r: claims.get(entry["run"], 0) for r in entry["covers"]}
     old = [run for run, at in sorted(claims.items()) if run not in state.runs() and now_ms - merged_at.get(run, at) >= keep_ms]
     for run in old:
-        for name in state.schemas:
-            files.remove(spark, f"{path}/{name}/rows/run={run}")
-            files.remove(spark, f"{path}/{name}/worked/run={run}")
-        if run != state.last:
-            for name in ("manifest", "ledger"):
-                files.remove(spark, f"{path}/{name}/run={run}")
+        kept = () if run != state.last else ("manifest", "ledger")
+        units = [f"_worked/{n}" for n in files.listed(spark, f"{path}/_worked")]
+        for name in (*state.schemas, *units, *{"manifest", "ledger"}.difference(kept)):
+            files.remove(spark, f"{path}/{name}/run={run}")
     return old

@@ -95,8 +95,8 @@ def test_the_page_has_the_first_say_on_the_month(spark, tmp_path):
 
 def test_what_a_dead_run_wrote_is_not_seen(spark, tmp_path):
     archive(spark, tmp_path, [("world", "/1", "<p>one</p>")])
-    dead = tmp_path / "compiled" / "rows" / "run=9" / "section_key=world"
-    spark.read.parquet(str(tmp_path / "compiled" / "rows")).drop("run", "section_key").write.parquet(str(dead))
+    dead = tmp_path / "compiled" / "run=9" / "section_key=world"
+    spark.read.parquet(str(tmp_path / "compiled")).drop("run", "section_key").write.parquet(str(dead))
     result = archive(spark, tmp_path, [("world", "/2", "<p>two</p>")], run=2)
     assert result.articles.count() == 2 and len(members(result)) == 2
 

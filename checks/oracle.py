@@ -476,6 +476,15 @@ sides AS (
 SELECT section_key, CAST(sum(run) AS BIGINT) AS n_run, CAST(sum(tags) AS BIGINT) AS n_tags, CAST(sum(run * tags) AS BIGINT) AS n_both
 FROM sides JOIN p USING (page_id) GROUP BY section_key""",
 )
+oracle(
+    "drop_listed",
+    f"""WITH {PAGE_BLOCKS},
+words AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\n]+')) AS word FROM documents),
+rare AS MATERIALIZED (SELECT word FROM words WHERE length(word) >= 10 GROUP BY word HAVING count(DISTINCT doc_id) = 1),
+texts AS MATERIALIZED (SELECT DISTINCT text FROM n),
+gone AS (SELECT text FROM texts WHERE EXISTS (SELECT 1 FROM rare WHERE contains(texts.text, rare.word)))
+SELECT * FROM n WHERE text NOT IN (SELECT text FROM gone)""",
+)
 oracle("explode_blocks", f"WITH {PAGE_BLOCKS} SELECT * FROM b")
 oracle("drop_empty_blocks", f"WITH {PAGE_BLOCKS} SELECT * FROM n")
 oracle("drop_blocklisted", f"WITH {PAGE_BLOCKS} SELECT * FROM n WHERE NOT {listed('text', WORDS)}")

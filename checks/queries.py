@@ -17,6 +17,7 @@ from newscorpus.operators import (
     ledger,
     quality,
     sections,
+    wordlists,
 )
 from newscorpus.plans import archive
 from newscorpus.session import work_path
@@ -351,6 +352,16 @@ def drop_blocklisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.explode_blocks(cleaning.drop_blocklisted(df, fx.WORDS), "page_id")
 
 
+@query
+def drop_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that hold none of the long words that only one document has."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = documents.select("doc_id", F.explode(F.split("text", r"[ \n]+")).alias("word"))
+    rare = words.where(F.length("word") >= 10).groupBy("word").agg(F.countDistinct("doc_id").alias("n")).where("n = 1")
+    pages = cleaning.drop_empty_blocks(split(spark, sf_dir)).select("page_id", "blocks")
+    return cleaning.explode_blocks(wordlists.drop_listed(pages, rare), "page_id")
+
+
 @query
 def dedup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = cleaning.drop_empty_blocks(split(spark, sf_dir))

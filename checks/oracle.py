@@ -485,6 +485,17 @@ texts AS MATERIALIZED (SELECT DISTINCT text FROM n),
 gone AS (SELECT text FROM texts WHERE EXISTS (SELECT 1 FROM rare WHERE contains(texts.text, rare.word)))
 SELECT * FROM n WHERE text NOT IN (SELECT text FROM gone)""",
 )
+oracle(
+    "progress_rejects",
+    """WITH d AS (
+  SELECT o_orderkey, o_orderkey % 10 AS kind,
+    format('{{"c{}_completed": true, "c{}_count": {}}}', o_custkey, o_custkey, o_orderkey) AS whole FROM orders),
+t AS (
+  SELECT o_orderkey, CASE kind WHEN 1 THEN left(whole, length(whole) - 9) WHEN 2 THEN '[' || whole || ']' WHEN 3 THEN ' '
+    WHEN 4 THEN NULL ELSE whole END AS doc FROM d)
+SELECT o_orderkey, CASE WHEN trim(doc) = '' THEN 'empty' WHEN NOT json_valid(doc) THEN 'not JSON' ELSE 'not an object' END AS reason
+FROM t WHERE doc IS NOT NULL AND (NOT json_valid(doc) OR json_type(doc) <> 'OBJECT')""",
+)
 oracle("explode_blocks", f"WITH {PAGE_BLOCKS} SELECT * FROM b")
 oracle("drop_empty_blocks", f"WITH {PAGE_BLOCKS} SELECT * FROM n")
 oracle("drop_blocklisted", f"WITH {PAGE_BLOCKS} SELECT * FROM n WHERE NOT {listed('text', WORDS)}")

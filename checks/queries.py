@@ -99,6 +99,21 @@ def read_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.progress_links(docs, "doc", "page_id").drop("discovered_at")
 
 
+@query
+def progress_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of orders, some cut off, some lists, some blank."""
+    whole = F.format_string('{"c%s_completed": true, "c%s_count": %s}', "o_custkey", "o_custkey", "o_orderkey")
+    kind = F.col("o_orderkey") % 10
+    doc = (
+        F.when(kind == 1, F.left(whole, F.length(whole) - 9))
+        .when(kind == 2, F.concat(F.lit("["), whole, F.lit("]")))
+        .when(kind == 3, F.lit(" "))
+        .when(kind != 4, whole)
+    )
+    docs = fx.orders(spark, sf_dir).select("o_orderkey", doc.alias("doc"))
+    return progress.progress_rejects(docs, "doc", "o_orderkey").select("o_orderkey", "reason")
+
+
 @query
 def read_progress_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.format_string(

@@ -158,3 +158,23 @@ def test_report_adds_up(spark):
     )
     report = quality.corpus_report(cleaning.clean_corpus(pages))
     assert rows(report, "section_key") == [("s", 1, 1, 4, 1, 2, 1), ("t", 1, 0, 1, 1, 0, 0)]
+
+
+def test_progress_files_that_cannot_be_read(spark, tmp_path):
+    good = '{"discovered_urls": {"World": [{"url": "/1"}, "/2"]}, "World_completed": true, "World_count": 2}'
+    twice = '{"crime": {"/3": 1, "/3": 2}}'
+    for name, text in {"a": good, "b": good[:50], "c": "[1]", "d": " \n", "e": twice, "f": '{"x": }', "g": '"text"'}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    links, ledger = progress.read_progress(spark, str(tmp_path))
+    assert rows(links.select("section_key", "url"), "section_key", "url")[-2:] == [("world", "/1"), ("world", "/2")]
+    assert {r["section_key"] for r in links.collect()} <= {"world", "crime"} and ledger.count() == 1
+    found = progress.read_rejects(spark, str(tmp_path))
+    got = rows(found.select(F.regexp_extract("path", "([^/]+).json$", 1).alias("f"), "position", "reason", "detail"), "f")
+    assert got == [
+        ("b", 50, "not JSON", "Expecting ',' delimiter"),
+        ("c", 0, "not an object", "[1]"),
+        ("d", 0, "empty", "no text"),
+        ("f", 6, "not JSON", "Expecting value"),
+        ("g", 0, "not an object", '"text"'),
+    ]
+    assert progress.read_rejects(spark, str(tmp_path / "none")).count() == 0

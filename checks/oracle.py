@@ -496,6 +496,10 @@ t AS (
 SELECT o_orderkey, CASE WHEN trim(doc) = '' THEN 'empty' WHEN NOT json_valid(doc) THEN 'not JSON' ELSE 'not an object' END AS reason
 FROM t WHERE doc IS NOT NULL AND (NOT json_valid(doc) OR json_type(doc) <> 'OBJECT')""",
 )
+oracle(
+    "read_tree",
+    f"WITH {P} SELECT section_key, article_key AS short_key, md5(html) AS digest FROM p WHERE section_key IN ('en', 'de')",
+)
 oracle("explode_blocks", f"WITH {PAGE_BLOCKS} SELECT * FROM b")
 oracle("drop_empty_blocks", f"WITH {PAGE_BLOCKS} SELECT * FROM n")
 oracle("drop_blocklisted", f"WITH {PAGE_BLOCKS} SELECT * FROM n WHERE NOT {listed('text', WORDS)}")

@@ -21,7 +21,7 @@ from newscorpus.operators import (
 )
 from newscorpus.plans import archive
 from newscorpus.session import work_path
-from newscorpus.sources import progress, tables
+from newscorpus.sources import progress, tables, tree
 from newscorpus.streaming import jobs
 
 QUERIES = {}
@@ -41,6 +41,16 @@ def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("page_id", "url", "section_key", F.length("html").cast("bigint").alias("n_chars"))
 
 
+@query
+def read_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages stored as HTML files; those of two sections read back, by their folders."""
+    path = work_path(spark, "tree")
+    files = fx.pages(spark, sf_dir).select("section_key", keys.article_key(F.col("url")).alias("short_key"), "html")
+    tree.write_tree(files, path)
+    found = tree.read_tree(spark, path).where(F.col("section_key").isin("en", "de"))
+    return found.select("section_key", "short_key", F.md5(F.col("html").cast("binary")).alias("digest"))
+
+
 @query
 def read_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = fx.pages(spark, sf_dir).groupBy(F.col("section_key").alias("page_section")).agg(

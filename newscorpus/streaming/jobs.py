@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newscorpus import schemas
 from newscorpus.operators.cleaning import clean_corpus
-from newscorpus.operators.keyed import broadcast_if_few, one_copy
+from newscorpus.operators.keyed import broadcast_if_few
 from newscorpus.operators.ledger import completed_rows, update_ledger
 from newscorpus.session import shared_dir
 from newscorpus.sources.tables import read_if_exists
@@ -107,15 +107,24 @@ def stream_clean(
         if batch_id and batch_id % compact_every == 0:
             every = [f"{n:0{BUCKET_DIGITS}x}" for n in range(16**BUCKET_DIGITS)]
             _write_index(stored_keys(spark, out_dir, batch_id, every), f"{index_path(out_dir)}/whole/batch_id={batch_id - 1}")
-        buckets = [r[0] for r in wanted.select(_bucket()).distinct().collect()]  # 16**BUCKET_DIGITS at most
-        stored = stored_keys(spark, out_dir, batch_id, buckets)
-        seen = wanted.select(*KEY).distinct().join(stored, KEY, "left_semi").checkpoint()
-        fresh = one_copy(clean_corpus(keyed), KEY, row_id, ids=wanted).join(
-            broadcast_if_few(seen), KEY, "left_anti"
+        first = wanted.groupBy(*KEY).agg(F.min(row_id).alias("_keep"), F.count("*").alias("_n"))
+        if batch_id:
+            buckets = [r[0] for r in wanted.select(_bucket()).distinct().collect()]  # 16**BUCKET_DIGITS at most
+            stored = stored_keys(spark, out_dir, batch_id, buckets).withColumn("_seen", F.lit(True))
+            first = first.join(stored, KEY, "left")
+        else:
+            first = first.withColumn("_seen", F.lit(None).cast("boolean"))
+        # Keys that repeat in the batch or are stored; of the others every page is written as it comes.
+        odd = first.where("_n > 1 or _seen").drop("_n").checkpoint()
+        cleaned = clean_corpus(keyed)
+        fresh = (
+            cleaned.join(broadcast_if_few(odd), KEY, "left")
+            .where(F.col("_seen").isNull() & (F.col("_keep").isNull() | (F.col(row_id) == F.col("_keep"))))
+            .select(*cleaned.columns)
         )
-        target = f"{out_dir}/batch_id={batch_id}"
-        fresh.hint("rebalance").write.mode("overwrite").parquet(target)
-        _write_index(spark.read.schema(fresh.schema).parquet(target), f"{index_path(out_dir)}/added/batch_id={batch_id}")
+        fresh.hint("rebalance").write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        new = wanted.select(*KEY).distinct().join(odd.where("_seen"), KEY, "left_anti")
+        _write_index(new, f"{index_path(out_dir)}/added/batch_id={batch_id}")
 
     return _run(pages.writeStream.foreachBatch(ingest), checkpoint)
 

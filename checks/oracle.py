@@ -500,6 +500,22 @@ oracle(
     "read_tree",
     f"WITH {P} SELECT section_key, article_key AS short_key, md5(html) AS digest FROM p WHERE section_key IN ('en', 'de')",
 )
+oracle(
+    "resolve_sections",
+    f"""WITH {P}, {DIM}, w AS (SELECT DISTINCT section_key AS k FROM p UNION SELECT 'world' UNION SELECT 'factcheck')
+SELECT k AS section_key, coalesce(name_english, upper(left(k, 1)) || lower(substr(k, 2))) AS section_name,
+  coalesce(path, '/category/' || k || '/') AS section_path FROM w LEFT JOIN dim ON lower(dim.section_key) = k""",
+)
+oracle(
+    "statistics_report",
+    f"""WITH {CLEANED} SELECT section_key, count(*) AS n_articles, CAST(sum(n_bytes) AS BIGINT) AS n_bytes,
+  CAST(sum(n_blocks) AS BIGINT) AS n_blocks, true AS texts_near, true AS median_near FROM c WHERE n_blocks > 0 GROUP BY section_key""",
+)
+oracle(
+    "repeated_lines",
+    f"""WITH {CLEANED}, l AS (SELECT section_key, unnest(string_split(body, chr(10))) AS line FROM c)
+SELECT section_key, line, count(*) AS n_least, count(*) AS n_most FROM l WHERE line <> '' GROUP BY ALL HAVING count(*) > 1""",
+)
 oracle("explode_blocks", f"WITH {PAGE_BLOCKS} SELECT * FROM b")
 oracle("drop_empty_blocks", f"WITH {PAGE_BLOCKS} SELECT * FROM n")
 oracle("drop_blocklisted", f"WITH {PAGE_BLOCKS} SELECT * FROM n WHERE NOT {listed('text', WORDS)}")

@@ -17,6 +17,7 @@ from newscorpus.operators import (
     ledger,
     quality,
     sections,
+    statistics,
     wordlists,
 )
 from newscorpus.plans import archive
@@ -65,7 +66,7 @@ def read_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "corpus")
     tables.write_corpus(fx.cleaned(spark, sf_dir), path)
-    stored = spark.read.parquet(path)
+    stored = tables.read_corpus(spark, path)
     return stored.select("section_key", "article_key", "url", "n_blocks", "n_bytes")
 
 
@@ -157,6 +158,14 @@ def select_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.select_sections(df, ["EN", "de"])
 
 
+@query
+def resolve_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known sections and the pages' own, which the dimension does not know."""
+    seen = fx.pages(spark, sf_dir).select(F.upper("section_key").alias("key")).distinct()
+    names = [r[0] for r in seen.collect()]  # one per language of the pages
+    return sections.resolve_sections(fx.sections(spark), [*names, "WORLD", "Factcheck"])
+
+
 @query
 def listing_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = fx.pages(spark, sf_dir).select("section_key").distinct()
@@ -686,6 +695,34 @@ def residual_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.residual_markup(df, "text", fx.WORDS).select("page_id", "n_tags", "has_listed")
 
 
+def articles_in_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.cleaned(spark, sf_dir).withColumn("run", F.col("page_id") % 7)
+
+
+@query
+def statistics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged from seven runs; whether the estimates are as near to the exact numbers as stated."""
+    articles = articles_in_runs(spark, sf_dir)
+    report = statistics.statistics_report(statistics.run_statistics(articles), (0.5,))
+    kept = articles.where("n_blocks > 0").select("section_key", "body", "n_bytes")
+    near = kept.join(report.select("section_key", F.col("size_quantiles")[0].alias("_median")), "section_key")
+    exact = near.groupBy("section_key").agg(
+        F.countDistinct("body").alias("_texts"), F.avg((F.col("n_bytes") <= F.col("_median")).cast("int")).alias("_rank"), F.count("*").alias("_n")
+    )
+    return report.join(exact, "section_key").select(
+        "section_key", "n_articles", "n_bytes", "n_blocks",
+        (F.abs(F.col("n_texts") - F.col("_texts")) <= F.greatest(F.lit(1.0), F.col("_texts") * statistics.TEXTS_ERROR)).alias("texts_near"),
+        (F.abs(F.col("_rank") - 0.5) <= statistics.RANK_ERROR + 1 / F.col("_n")).alias("median_near"),
+    )
+
+
+@query
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that occur more than once in a section, counted run by run."""
+    lines = statistics.repeated_lines(articles_in_runs(spark, sf_dir), keep=10_000_000)
+    return statistics.merge_lines(lines).where("n_least > 1")
+
+
 @query
 def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.corpus_report(fx.cleaned(spark, sf_dir))

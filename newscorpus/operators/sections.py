@@ -42,6 +42,14 @@ def select_sections(sections: DataFrame, names: list[str] | None = None) -> Data
     return sections.where(F.lower("section_key").isin([n.lower() for n in names]))
 
 
+def resolve_sections(sections: DataFrame, names: list[str]) -> DataFrame:
+    """section_key, section_name, section_path of each named section, once, in any case; one that is
+    not known gets a derived name and path instead of being left out."""
+    rows = [(n,) for n in sorted({n.lower() for n in names})]
+    wanted = sections.sparkSession.createDataFrame(rows, "section_key string")
+    return normalize_section(wanted, sections)
+
+
 def demo_section(sections: DataFrame) -> DataFrame:
     return select_sections(sections, [values.DEMO_SECTION])
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from newscorpus import values
 
@@ -76,6 +76,13 @@ def write_corpus(df: DataFrame, path: str) -> None:
     )
 
 
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """A stored corpus, with section keys as the strings they are: a plain read makes 7 of 007."""
+    found = spark.read.parquet(path)
+    fields = [StructField("section_key", StringType()) if f.name == "section_key" else f for f in found.schema]
+    return spark.read.schema(StructType(fields)).parquet(path)
+
+
 def write_manifest(df: DataFrame, path: str) -> None:
     """Archive statistics as CSV with a header."""
     df.write.option("header", True).mode("overwrite").csv(path)

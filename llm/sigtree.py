@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import by_bucket, components, pack, packed_schema, release, stored, table, text_bytes, unpack
+from llm.common import by_bucket, components, lookup, pack, packed_schema, release, stored, table, text_bytes, unpack
 from llm.shingles import shingle_sets
 from newscorpus.operators.keyed import broadcast_if_few, first_per_key
 
@@ -414,16 +414,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     )
     links = stored(met.groupBy("bin", "large", "lo", "hi").applyInArrow(_links, "a long, b long"), "links")
 
-    joined = components(links).join(named.select("node", "least"), "node")
+    # A component may hold a third of all sets, and a set may be that of a third of all documents.
+    joined = stored(components(links).join(named.select("node", "least"), "node"), "joined")
     roots = joined.groupBy("component").agg(F.min("least").alias("root"))
-    rooted = joined.join(roots, "component").select("node", "root")
+    rooted = lookup(joined, stored(roots, "roots"), "component").select("node", "root")
     named = named.join(rooted, "node", "left").select(F.col("node").alias("key"), F.coalesce("root", "least").alias("root"))
-    return sets.join(named, "key", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("root")).alias("component_id"),
-        "tid",
-    )
+    found = lookup(sets.where("key is not null"), stored(named, "named"), "key", "left")
+    alone = sets.where("key is null").select("doc_id", "n", F.col("doc_id").alias("root"), "tid")
+    every = found.select("doc_id", "n", "root", "tid").unionAll(alone)
+    return every.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), "tid")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:

@@ -707,12 +707,15 @@ def statistics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = articles.where("n_blocks > 0").select("section_key", "body", "n_bytes")
     near = kept.join(report.select("section_key", F.col("size_quantiles")[0].alias("_median")), "section_key")
     exact = near.groupBy("section_key").agg(
-        F.countDistinct("body").alias("_texts"), F.avg((F.col("n_bytes") <= F.col("_median")).cast("int")).alias("_rank"), F.count("*").alias("_n")
+        F.countDistinct("body").alias("_texts"),
+        F.avg((F.col("n_bytes") < F.col("_median")).cast("int")).alias("_below"),
+        F.avg((F.col("n_bytes") <= F.col("_median")).cast("int")).alias("_upto"),
+        (statistics.RANK_ERROR + 1 / F.count("*")).alias("_error"),
     )
     return report.join(exact, "section_key").select(
         "section_key", "n_articles", "n_bytes", "n_blocks",
         (F.abs(F.col("n_texts") - F.col("_texts")) <= F.greatest(F.lit(1.0), F.col("_texts") * statistics.TEXTS_ERROR)).alias("texts_near"),
-        (F.abs(F.col("_rank") - 0.5) <= statistics.RANK_ERROR + 1 / F.col("_n")).alias("median_near"),
+        ((F.col("_below") <= 0.5 + F.col("_error")) & (F.col("_upto") >= 0.5 - F.col("_error"))).alias("median_near"),
     )
 
 

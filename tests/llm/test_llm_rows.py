@@ -75,13 +75,29 @@ def test_top_k_against_brute_force(spark):
 def test_search_reads_few_exact_vectors():
     rng = np.random.default_rng(1)
     vectors = np.floor(64 * rng.normal(size=(4000, 64)) / 8).astype(np.int64)
-    cell, low, width = vafile.approximate(vectors)
-    assert cell.dtype == np.uint8 and ((low + cell * width <= vectors) & (vectors < low + (cell + 1) * width)).all()
-    i, j, score = vafile.search(vectors[:3], np.arange(3), vectors, np.arange(4000), np.arange(4000), 20)
+    low = vectors.min(axis=0)
+    width = (vectors.max(axis=0) - low) // vafile.CELLS + 1
+    i, j, lower, upper = vafile.scan(vectors[:3], np.arange(3), (vectors - low) // width, np.arange(4000), low, width, 20)
     exact = vectors[:3] @ vectors.T
+    assert ((lower <= exact[i, j]) & (exact[i, j] <= upper)).all() and len(i) < 3 * 400
     np.fill_diagonal(exact, -(10**9))
     for q in range(3):
-        assert sorted(score[i == q], reverse=True) == sorted(exact[q], reverse=True)[:20]
+        assert set(np.argsort(-exact[q], kind="stable")[:20]) <= set(j[i == q]) and q not in j[i == q]
+
+
+def test_copies_of_a_vector_are_few_pairs(spark):
+    rng = np.random.default_rng(3)
+    vectors = [[5, 5, 5, 5]] * 300 + rng.integers(-9, 9, (100, 4)).tolist() + [[], []]
+    rows = [(i, v) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id bigint, vector array<bigint>")
+    got = vafile.top_k(df, F.col("vec_id") % 20 == 0, 5).collect()
+    want = []
+    for q, v in rows[::20]:
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), x) for x, w in rows if x != q and len(w) == len(v))
+        want += [(q, r + 1, x, -s) for r, (s, x) in enumerate(scored[:5])]
+    assert sorted(map(tuple, got)) == sorted(want)
+    stored = df.select("vec_id", "vector", F.size("vector").alias("dim"), (F.col("vec_id") % 20 == 0).alias("q"), F.col("vec_id").alias("row"))
+    assert vafile.candidate_pairs(stored, 5).count() < 21 * 60
 
 
 def test_vectors_that_take_no_part(spark):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import components, stored, table
+from llm.common import components, lookup, stored, table
 from llm.vafile import usable
 
 THRESHOLD = 0.93
@@ -85,10 +85,13 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tile: int = T
     good = usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull()
     doubles = F.transform("embedding", lambda x: x.cast("double"))
     kept = all_rows.where(good).select("vec_id", "_row", "label", doubles.alias("v"))
-    classes = stored(
-        kept.groupBy("label", "v").agg(F.min("_row").alias("c"), F.count("*").alias("copies"), F.min("vec_id").alias("least")),
-        "classes",
-    ).withColumn("dim", F.size("v"))
+    # Equal vectors of a label are a class, told by 128 bits of hashes: rows meet their class on these,
+    # not on whole vectors, and any share of the rows may be of one class.
+    key = F.struct(F.xxhash64("label", "v").alias("one"), F.xxhash64("v", F.lit(1), "label").alias("two"))
+    keyed = stored(kept.select("vec_id", "_row", key.alias("key")), "keys")
+    first = keyed.groupBy("key").agg(F.min("_row").alias("c"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
+    classes = stored(kept.join(first, F.col("_row") == F.col("c")).select("key", "label", "v", "c", "copies", "least"), "classes")
+    classes = classes.withColumn("dim", F.size("v"))
     tiles = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("bigint").alias("tiles"))
     dealt = classes.join(tiles, ["label", "dim"]).select(
         "label",
@@ -120,14 +123,15 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tile: int = T
     found = stored(met.groupBy("label", "dim", "lo", "hi").applyInArrow(run, schema), "links")
     counts = found.groupBy("c").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
-    named = classes.select("label", "v", "c", "copies", "least").join(counts, "c", "left").join(
+    named = classes.select("key", "c", "copies", "least").join(counts, "c", "left").join(
         groups.withColumnRenamed("node", "c"), "c", "left"
-    ).select("label", "v", "c", "copies", "least", "links", F.coalesce("component", "c").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = named.join(least, "component").select(
-        "label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
+    ).select("key", "c", "copies", "least", "links", F.coalesce("component", "c").alias("component"))
+    named = stored(named, "named")
+    least = stored(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    of_class = lookup(named, least, "component").select(
+        "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
     )
-    linked = kept.join(of_class, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    linked = lookup(keyed, stored(of_class, "classes"), "key").select("vec_id", "n_links", "component_id")
     alone = all_rows.where(~F.coalesce(good, F.lit(False))).select(
         "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")
     )

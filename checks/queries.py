@@ -390,8 +390,9 @@ def drop_blocklisted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks that hold none of the long words that only one document has."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = documents.select("doc_id", F.explode(F.split("text", r"[ \n]+")).alias("word"))
-    rare = words.where(F.length("word") >= 10).groupBy("word").agg(F.countDistinct("doc_id").alias("n")).where("n = 1")
+    words = documents.select("doc_id", F.explode_outer(F.split("text", r"[ \n]+")).alias("word"))
+    ids = F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
+    rare = words.where(F.length("word") >= 10).groupBy("word").agg(*ids).where("least = most")
     pages = cleaning.drop_empty_blocks(split(spark, sf_dir)).select("page_id", "blocks")
     return cleaning.explode_blocks(wordlists.drop_listed(pages, rare), "page_id")
 

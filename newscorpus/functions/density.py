@@ -64,16 +64,23 @@ def scored(marked: Column, tags: list[str], weights: Weights = Weights()) -> Col
     """
 
     def block(piece: Column, pos: Column) -> Column:
-        name = F.lower(F.substring_index(piece, markup.NAME_END, 1))
         raw = F.substring_index(piece, markup.NAME_END, -1)
-        text = F.trim(markup.collapse(F.translate(raw, LINK_OPEN + LINK_CLOSE, "")))
+        marks = F.contains(raw, F.lit(LINK_OPEN)) | F.contains(raw, F.lit(LINK_CLOSE))
+        text = F.trim(markup.collapse(F.when(marks, F.translate(raw, LINK_OPEN + LINK_CLOSE, "")).otherwise(raw)))
         plain = F.trim(markup.collapse(F.regexp_replace(raw, f"{LINK_OPEN}[^{LINK_CLOSE}]*{LINK_CLOSE}", " ")))
-        container = F.regexp_replace(name, "^/", "").isin(values.CONTAINERS)
-        step = F.when(~container, 0).when(F.startswith(name, F.lit("/")), -1).otherwise(1)
+        # Each of these is used several times below.
+        parts = F.struct(
+            F.lower(F.substring_index(piece, markup.NAME_END, 1)).alias("name"),
+            text.alias("text"),
+            F.when(marks, F.length(plain)).alias("n_plain"),
+        )
 
-        def features(text: Column) -> Column:
+        def features(parts: Column) -> Column:
+            name, text = parts["name"], parts["text"]
+            container = F.regexp_replace(name, "^/", "").isin(values.CONTAINERS)
+            step = F.when(~container, 0).when(F.startswith(name, F.lit("/")), -1).otherwise(1)
             n_chars = F.length(text)
-            link_chars = F.greatest(n_chars - F.length(plain), F.lit(0))
+            link_chars = F.greatest(n_chars - F.coalesce(parts["n_plain"], n_chars), F.lit(0))
             n_marks = n_chars - F.length(F.translate(text, values.SENTENCE_MARKS, ""))
             worth = weights.char * (n_chars - link_chars) + weights.mark * n_marks - weights.link * link_chars - weights.block
             return F.struct(
@@ -87,7 +94,7 @@ def scored(marked: Column, tags: list[str], weights: Weights = Weights()) -> Col
                 F.when(text == "", 0).otherwise(worth).cast("bigint").alias("score"),
             )
 
-        return markup.let(text, features)
+        return markup.let(parts, features)
 
     return F.transform(F.split(marked, markup.BLOCK), block)
 

@@ -21,14 +21,25 @@ def read_if_exists(spark: SparkSession, path: str, schema: str | StructType) ->
         return spark.createDataFrame([], schema)
 
 
+# A split with more text than this is too much for one task of text work, and what each task gets instead.
+MAX_SPLIT_BYTES, TASK_BYTES = 64 << 20, 16 << 20
+
+
 def spread_small(scan: DataFrame) -> DataFrame:
-    """Use all cores on a table that comes in fewer splits than there are cores.
+    """Use all cores on a table that comes in fewer splits than there are cores, or in too large ones.
 
-    Text work is bound by CPU, and a small file is one split. A table with splits enough, as any
-    large one has, is left alone: its pages are not shuffled. Takes a plain scan.
+    Text work is bound by CPU, and a small file is one split. A large file is one task for each of its
+    row groups, however many splits it has; what counts is therefore the text that lies in a split.
+    A table in splits enough and of at most ``MAX_SPLIT_BYTES`` of text is left alone: its pages are not
+    shuffled. Takes a plain scan.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("bigint") for f in scan.schema if isinstance(f.dataType, StringType)]
+    held = scan.groupBy(F.spark_partition_id()).agg(F.sum(sum(texts, F.lit(0))).alias("n"))
+    total, most = held.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if scan.rdd.getNumPartitions() >= cores and most <= MAX_SPLIT_BYTES:
+        return scan
+    return scan.repartition(max(cores, -(-total // TASK_BYTES)))
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

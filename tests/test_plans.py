@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newscorpus.operators import articles, keyed
 from newscorpus.operators.ordering import with_positions
+from newscorpus.sources import tables
 
 
 @pytest.fixture
@@ -46,3 +47,23 @@ def test_html_is_not_shuffled(static, monkeypatch, limit):
     text = plan(kept)
     moved = text[text.index("Exchange") :] if "Exchange" in text else ""
     assert limit > 1 or "SortMergeJoin" in text and moved
+
+
+def test_no_task_has_more_than_its_share_of_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "MAX_SPLIT_BYTES", 200_000, raising=False)
+    monkeypatch.setattr(tables, "TASK_BYTES", 50_000, raising=False)
+    path, columns = str(tmp_path / "t"), "id int, html string, url string"
+    # Splits enough, one of them with most of the text in a single row group.
+    spark.createDataFrame([(i, "x" * 1000, None) for i in range(1000)], columns).coalesce(1).write.parquet(path)
+    spark.createDataFrame([(1000 + i, None, "y") for i in range(31)], columns).repartition(31).write.mode("append").parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    assert scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    spread = tables.spread_small(scan)
+    held = spread.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("html")).alias("n"))
+    assert held.agg(F.max("n")).first()[0] <= 100_000
+    assert sorted(r["id"] for r in spread.collect()) == list(range(1031))
+    monkeypatch.setattr(tables, "MAX_SPLIT_BYTES", 10_000_000)
+    assert tables.spread_small(scan) is scan
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -352,10 +352,14 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, length: int = LENGTH) -> Dat
     return by_bucket(spans, _merged, "key long, start binary, end binary")
 
 
-def with_spans(docs: DataFrame, hot: int = HOT, length: int = LENGTH) -> DataFrame:
-    """``docs`` with two more columns, packed byte offsets of starts and ends of what repeats (null: nothing)."""
+def with_spans(docs: DataFrame, hot: int = HOT, length: int = LENGTH, among: DataFrame | None = None) -> DataFrame:
+    """``docs`` with two more columns, packed byte offsets of starts and ends of what repeats (null: nothing).
+
+    ``among`` has the same rows, where ``docs`` is costlier to make.
+    """
     key, start, end = (free_prefix(docs.columns) + n for n in ("key", "start", "end"))
-    spans = stored(repeated_spans(docs.select("doc_id", "text"), hot, length), "spans")
+    among = (docs if among is None else among).select("doc_id", "text")
+    spans = stored(repeated_spans(among, hot, length), "spans")
     spans = spans.select(F.col("key").alias(key), F.col("start").alias(start), F.col("end").alias(end))
     width = 40 + 8 * (spans.agg(F.avg(F.octet_length(start) / 4)).first()[0] or 0)
     return docs.join(_small(spans, width), F.xxhash64("text") == F.col(key), "left").select(*docs.columns, start, end)
@@ -402,24 +406,37 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> Da
     return with_spans(docs, length=length).mapInArrow(run, docs.schema)
 
 
-def removals(docs: DataFrame, hot: int = HOT, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (bytes) for every row of (doc_id, text); null is empty."""
+def removals(docs: DataFrame, hot: int = HOT, length: int = LENGTH, passages: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (bytes) for every row of (doc_id, text); null is empty.
+
+    With ``passages``, (bytes, words), also n_passages and n_passage_bytes: the spans that
+    ``without_repeats`` takes out of the text with these, which may be shorter. ``kept`` has them still.
+    """
     kind = dict(docs.dtypes)["doc_id"]
+    more = ["n_passages", "n_passage_bytes"] if passages else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_keep(*x) for x in zip(*(c.to_pylist() for c in batch.columns[1:4]))]
             kept = [r[0] for r in rows]
             gone = [sum(b - a for a, b in r[1]) for r in rows]
-            yield pa.RecordBatch.from_pydict({
+            found = {
                 "doc_id": batch.column("doc_id"), "n_bytes": pa.array([len(k) + g for k, g in zip(kept, gone)], pa.int64()),
                 "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array([len(r[1]) for r in rows], pa.int64()),
-                "kept": pa.array(kept, pa.binary())})
+                "kept": pa.array(kept, pa.binary())}
+            if passages:
+                spans = [_keep(*x, passages[1])[1] for x in zip(*(batch.column(i).to_pylist() for i in (1, 4, 5)))]
+                found["n_passages"] = pa.array([len(x) for x in spans], pa.int64())
+                found["n_passage_bytes"] = pa.array([sum(b - a for a, b in x) for x in spans], pa.int64())
+            yield pa.RecordBatch.from_pydict(found)
 
     found = with_spans(docs.select("doc_id", "text"), hot, length)
-    return found.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    if passages:
+        found = with_spans(found, hot, passages[0], docs)
+    return found.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary" + "".join(f", {n} long" for n in more))
 
 
 def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = removals(table(spark, sf_dir, "documents"))
+    """The contract's columns, and the passages of 50 words from 200 bytes on, which strings of 400 bytes do not show."""
+    found = removals(table(spark, sf_dir, "documents"), passages=(200, 50))
     return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")

@@ -348,3 +348,12 @@ def test_language_stage_keeps_clean_documents(spark):
 
 def test_pipeline_runs_as_a_query(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_op8_tells_passages_shorter_than_its_strings(spark):
+    passage = " ".join(f"word{i}" for i in range(55))  # 50 words and more, under 400 bytes
+    rows = [(1, "alpha " + passage + " beta"), (2, "gamma " + passage + " delta"), (3, "nothing of it"), (4, None)]
+    got = repeats.removals(docs(spark, rows), passages=(200, 50)).collect()
+    assert 200 < len(passage) < 400
+    assert {r["doc_id"]: (r["n_removed"], r["n_passages"], r["n_passage_bytes"] >= len(passage)) for r in got} == {
+        1: (0, 1, True), 2: (0, 1, True), 3: (0, 0, False), 4: (0, 0, False)}
